@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from ._registered import ORACLE_SQL, QUERIES
+from .queries import audits, features, images, notebook, tables
+
+__all__ = ["ORACLE_SQL", "QUERIES", "audits", "features", "images", "notebook", "tables"]
