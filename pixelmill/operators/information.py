@@ -43,7 +43,8 @@ def mutual_information(v: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS) -> flo
             i = np.flatnonzero(ok)
             d[i] = np.maximum(s[i] - s[lo[i]], s[hi[i]] - s[i])
             best = np.minimum(best, d)
-        radius[at], ks[at], sizes[at] = np.nextafter(best, 0), kk, m
+        # Strictly nearer than the k-th, whatever rounding does to the sums below.
+        radius[at], ks[at], sizes[at] = np.maximum(best - 8 * np.finfo(float).eps * np.abs(s).max(), 0.0), kk, m
     s = np.sort(v)
     inside = np.searchsorted(s, v + radius, side="right") - np.searchsorted(s, v - radius, side="left")
     mi = digamma(np.array([n]))[0] + digamma(ks).mean() - digamma(sizes).mean() - digamma(np.maximum(inside, 1)).mean()

@@ -76,7 +76,7 @@ def run_analysis(train: DataFrame, valid: DataFrame, out: str, images: DataFrame
     numbered = relevance.select(F.col("feature"), "mi")
     by = F.create_map(*[F.lit(x) for n, i in order.items() for x in (n, i)])
     ranking = selection.mrmr(numbered.select(by[F.col("feature")].alias("feature"), "mi"), pairs.select(by[F.col("f1")].alias("f1"), by[F.col("f2")].alias("f2"), "r"), "mi")
-    ranking = put("mrmr_rankings", ranking.join(F.broadcast(at), F.col("feature") == F.col("i")).drop("i").select("rank", at["feature"], "relevance", "redundancy", "score", *[c for c in ranking.columns if c.startswith("in_budget")]).orderBy("rank"))
+    ranking = put("mrmr_rankings", ranking.join(F.broadcast(at.withColumnRenamed("feature", "name")), F.col("feature") == F.col("i")).select("rank", F.col("name").alias("feature"), "relevance", "redundancy", "score", *[c for c in ranking.columns if c.startswith("in_budget")]).orderBy("rank"))
     put("selected_features", selection.budget_lists(ranking))
     v = F.array(*[F.col(n).cast("double") for n in names]).alias("v")
     both = train.select(F.lit(0).alias("vec_id"), "label_a", v).union(valid.select(F.lit(9).alias("vec_id"), "label_a", v))
