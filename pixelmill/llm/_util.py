@@ -39,15 +39,16 @@ def single_label(labels: DataFrame, column: str) -> DataFrame:
 
 
 def pool_adjacent(x: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression (pool adjacent violators) of pos/n over ascending x; returns knots (x, y)."""
+    """Isotonic regression (pool adjacent violators) of pos/n over ascending x; returns knots (x, y), both ends of each
+    block, so that values between blocks are interpolated and those within one share its mean."""
     blocks: list[list[float]] = []
     for xi, ni, pi in zip(x, n, pos, strict=True):
-        blocks.append([xi * ni, ni, pi])
-        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
-            top = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], top, strict=True)]
-    b = np.asarray(blocks, dtype=float).reshape(-1, 3)
-    return b[:, 0] / b[:, 1], b[:, 2] / b[:, 1]
+        blocks.append([xi, xi, ni, pi])
+        while len(blocks) > 1 and blocks[-2][3] * blocks[-1][2] >= blocks[-1][3] * blocks[-2][2]:
+            _, high, m, p = blocks.pop()
+            blocks[-1] = [blocks[-1][0], high, blocks[-1][2] + m, blocks[-1][3] + p]
+    b = np.asarray(blocks, dtype=float).reshape(-1, 4)
+    return b[:, :2].ravel(), np.repeat(b[:, 3] / b[:, 2], 2)
 
 
 def fit_isotonic(scored: DataFrame, raw: str, y: str, step: float) -> tuple[np.ndarray, np.ndarray] | None:

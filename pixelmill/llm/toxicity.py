@@ -25,6 +25,7 @@ from . import _util as U
 #: whose gains a worker keeps.
 TRAIN_DOCS, TRAIN_BYTES, ORDINARY_BYTES, TOXIC_BYTES, RECUR, CONTRAST, CACHE = 1500, 16384, 4096, 4096, 3, 12, 200_000
 ACCEPT = 0.7
+STEADY = 30  # windows added to each document's number, so that short ones do not swing
 GAINS = 8  # gains of a window are held to -GAINS..GAINS
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -151,8 +152,8 @@ def fit_dictionaries(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int
 def calibrate(model: Model, hist: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (3, 1)) -> Model:
     """Weights and isotonic knots from every labelled row of the folds that are neither held out nor trained on.
 
-    A gain's weight is its log odds among windows of toxic against ordinary documents; a document's raw score is the
-    sum over its windows of positive weights, against the logarithm of their number.
+    A gain's weight is its log odds among windows of toxic against ordinary documents, one weight for all windows that
+    save nothing; a document's raw score is the sum over its windows, scaled by the root of their number.
     """
     f = U.fold(F.col("doc_id"), holdout[0])
     y = U.single_label(labels, "toxic").where((f != holdout[1]) & (f != 0))
@@ -161,10 +162,12 @@ def calibrate(model: Model, hist: DataFrame, labels: DataFrame, holdout: tuple[i
     sums = {r["y"]: np.array([r[f"g{i}"] for i in range(n)], float) for r in rows.groupBy("y").agg(*[F.sum(F.col("h")[i]).alias(f"g{i}") for i in range(n)]).collect()}
     if len(sums) < 2:
         return Model(model.ordinary, model.toxic, None, None, 0.0)
-    p = {k: (v + 0.5) / (v + 0.5).sum() for k, v in sums.items()}
-    weight = np.log(p[1] / p[0])
-    weight[: GAINS + 1] = 0.0  # what saves no byte says nothing
-    weight = np.maximum.accumulate(np.clip(weight, 0.0, None))
+    odds = []
+    for k in (1, 0):
+        v = np.concatenate([[sums[k][: GAINS + 1].sum()], sums[k][GAINS + 1 :]]) + 0.5
+        odds.append(np.log(v / v.sum()))
+    weight = np.maximum.accumulate(odds[0] - odds[1])
+    weight = np.concatenate([np.full(GAINS, weight[0]), weight])
     out = Model(model.ordinary, model.toxic, weight)
 
     knots = U.fit_isotonic(rows.select(raw_of(out)("h").alias("raw"), "y"), "raw", "y", 0.05)
@@ -177,7 +180,7 @@ def raw_of(model: Model):
     @F.pandas_udf("double")
     def raw(h: pd.Series) -> pd.Series:
         m = np.vstack(h.to_numpy()).astype(float) if len(h) else np.zeros((0, 2 * GAINS + 1))
-        return pd.Series(m @ weight - np.log1p(m.sum(axis=1)))
+        return pd.Series(m @ weight / np.sqrt(m.sum(axis=1) + STEADY))
 
     return raw
 

@@ -87,7 +87,8 @@ def test_random_features_approximate_a_gaussian_kernel():
 
 def test_isotonic_pools_violators():
     x, y = U.pool_adjacent(np.arange(4.0), np.ones(4), np.array([0.0, 1.0, 0.0, 1.0]))
-    assert y.tolist() == [0.0, 0.5, 1.0] and (np.diff(x) > 0).all()
+    assert y.tolist() == [0.0, 0.0, 0.5, 0.5, 1.0, 1.0] and x.tolist() == [0, 0, 1, 2, 3, 3]
+    assert U.apply_isotonic((x, y), np.array([-1.0, 1.5, 9.0])).tolist() == [0.0, 0.5, 1.0]
 
 
 def test_toxic_words_save_bytes_under_their_dictionary():
