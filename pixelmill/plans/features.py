@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import exploratory
 from ..functions import kernels as K
 
 
@@ -83,6 +84,7 @@ EXTRACTORS = {
     "E2_RESP": lambda s: K.response_features(s["rgb"], s["jpeg"]),
     "E3_PHASE": lambda s: K.phase_features(s["gray"], s["jpeg"]),
     "E4_GRID": lambda s: K.grid_features(s["gray"]),
+    **exploratory.EXTRACTORS,
 }
 #: Branch names and the extractors that they stand for.
 BRANCHES = {"A": ("A1_FFT", "A2_SYNTH"), "B": ("B_HAAR",), "D": ("D_HIGHPASS", "D_LAPLACIAN", "D_MFR"), "E": ("E1_DCT", "E2_RESP", "E3_PHASE", "E4_GRID")}

@@ -334,3 +334,71 @@ def compression_retention(spark, sf_dir):
     from ..plans.analysis import compression_table
 
     return compression_table(colour(spark, sf_dir), SIDE)
+
+
+def _rounded_bank(spark, sf_dir, names: list[str], f) -> DataFrame:
+    """(img, names...) in double precision from 8-bit colour images."""
+
+    def run(pdfs):
+        for pdf in pdfs:
+            for i in range(0, len(pdf), 128):
+                part = pdf.iloc[i : i + 128]
+                got = f(K.from_bytes(part.image_rgb.tolist(), SIDE))
+                yield pd.DataFrame({"img": part.img.to_numpy(), **{n: got[n] for n in names}})
+
+    out = colour(spark, sf_dir).select("img", "image_rgb").mapInPandas(run, "img long, " + ", ".join(f"{n} double" for n in names))
+    return rounded(out, *names)
+
+
+_RGB = f"""{PX}, n AS (SELECT count(DISTINCT img) AS n FROM px),
+rgb AS (SELECT r.img, r.y, r.x, round(r.p * 255) / 255 AS r, round(g.p * 255) / 255 AS g, round(b.p * 255) / 255 AS b
+  FROM n, px r JOIN px g ON g.img = (r.img + 1) % n.n AND g.y = r.y AND g.x = r.x JOIN px b ON b.img = (r.img + 2) % n.n AND b.y = r.y AND b.x = r.x)"""
+
+
+@query(f"""WITH {_RGB}, v AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS i, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM rgb)
+SELECT img, round(avg(i), 6) AS intensity_mean, round(stddev_samp(i), 6) AS intensity_std, round(quantile_cont(i, 0.01), 6) AS intensity_p01, round(quantile_cont(i, 0.5), 6) AS intensity_p50, round(quantile_cont(i, 0.99), 6) AS intensity_p99,
+ round(avg(r), 6) AS r_mean, round(stddev_samp(g), 6) AS g_std, round(corr(r, g), 6) AS rgb_corr_rg, round(corr(r, b), 6) AS rgb_corr_rb, round(corr(g, b), 6) AS rgb_corr_gb,
+ round(avg(CASE WHEN hi > 0 THEN (hi - lo) / hi ELSE 0 END), 6) AS hsv_saturation_mean, round(avg(hi), 6) AS hsv_value_mean, round(stddev_samp(CASE WHEN hi > 0 THEN (hi - lo) / hi ELSE 0 END), 6) AS hsv_saturation_std FROM v GROUP BY 1""")
+def intensity_colour(spark, sf_dir):
+    from ..functions import exploratory as X
+
+    names = ["intensity_mean", "intensity_std", "intensity_p01", "intensity_p50", "intensity_p99", "r_mean", "g_std", "rgb_corr_rg", "rgb_corr_rb", "rgb_corr_gb", "hsv_saturation_mean", "hsv_value_mean", "hsv_saturation_std"]
+    return _rounded_bank(spark, sf_dir, names, X.colour_features)
+
+
+@query(f"""WITH {_RGB}, c AS (SELECT img, y // 2 AS y, x // 2 AS x, {", ".join(f"max({ch}) FILTER (WHERE y % 2 = {i} AND x % 2 = {j}) AS {ch}{i}{j}" for ch in "rgb" for i in (0, 1) for j in (0, 1))} FROM rgb GROUP BY 1, 2, 3),
+h AS (SELECT img, {", ".join(f"({ch}00 - {ch}01 + {ch}10 - {ch}11) / 2 AS {ch}" for ch in "rgb")} FROM c),
+m AS (SELECT img, sqrt(r * r + g * g + b * b + 1e-12) AS m, atan2(g, r + 1e-12) AS a FROM h)
+SELECT img, round(avg(m), 6) AS "qwt_LH1_magnitude_mean", round(stddev_samp(m), 6) AS "qwt_LH1_magnitude_std", round(avg(m * m), 6) AS "qwt_LH1_magnitude_energy", round(sqrt(pow(avg(cos(a)), 2) + pow(avg(sin(a)), 2) + 1e-12), 6) AS "qwt_LH1_phase_rg_circular_coherence" FROM m GROUP BY 1""")
+def quaternion_wavelet(spark, sf_dir):
+    from ..functions import exploratory as X
+
+    names = [f"qwt_LH1_{s}" for s in ("magnitude_mean", "magnitude_std", "magnitude_energy", "phase_rg_circular_coherence")]
+    return _rounded_bank(spark, sf_dir, names, X.quaternion_features)
+
+
+@query()
+def exploratory_bank(spark, sf_dir):
+    """Every exploratory feature of every image in one pass."""
+    from ..functions import exploratory as X
+
+    return by_colour(spark, sf_dir, tuple(b for b in X.EXTRACTORS))
+
+
+@query(f"""WITH {PX}, ft AS (SELECT img, u, v, sum(p * cos(2 * pi() * ((u * y + v * x) % 16) / 16)) AS re, sum(p * sin(2 * pi() * ((u * y + v * x) % 16) / 16)) AS im FROM px, range(16) a(u), range(16) b(v) GROUP BY ALL),
+m AS (SELECT img, ln(sqrt(re * re + im * im) + 1e-8) AS m, floor(sqrt(pow((u + 8) % 16 - 8, 2) + pow((v + 8) % 16 - 8, 2)))::INT AS ring FROM ft)
+SELECT ring, round(avg(p), 5) AS profile FROM (SELECT img, ring, avg(m) AS p FROM m GROUP BY ALL) GROUP BY 1""")
+def ring_profile(spark, sf_dir):
+    """Mean log magnitude by whole radius, averaged over all planes."""
+    from ..functions import exploratory as X
+
+    n = 12
+
+    def run(pdfs):
+        for pdf in pdfs:
+            if len(pdf):
+                p = X.ring_profile(to_planes(pdf.tiles))
+                yield pd.DataFrame({"ring": np.tile(np.arange(n), len(p)), "v": p[:, :n].ravel()})
+
+    long = planes(spark, sf_dir).mapInPandas(run, "ring int, v double")
+    return rounded(long.groupBy("ring").agg(F.avg("v").alias("profile")), "profile", digits=5)

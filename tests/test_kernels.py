@@ -175,3 +175,27 @@ def test_plan_resolution():
     with pytest.raises(ValueError):
         P.subset(branches=["none"])
     assert P.subset(budget=["fft_low_freq_ratio"], names=["LL3_energy"]) == ["fft_low_freq_ratio"]
+
+
+@pytest.mark.parametrize("kind", ["zeros", "half", "impulse", "step", "noise"])
+def test_exploratory_features_are_finite(kind):
+    from pixelmill.functions import exploratory as X
+
+    x = image(kind)[:, :, :64, :64]
+    got = P.compute(x, tuple(X.EXTRACTORS))
+    assert all(np.isfinite(v).all() for v in got.values())
+    assert sum(k.startswith("qwt_") for k in got) == 145
+
+
+def test_pieces_of_a_mask():
+    from pixelmill.functions import exploratory as X
+
+    m = np.zeros((2, 6, 6), bool)
+    m[0, 0, 0] = m[0, 1, 1] = m[0, 4, 4] = True
+    assert X.pieces(m).tolist() == [2, 0]
+
+
+def test_pyramid_band_of_a_flat_image_is_empty():
+    from pixelmill.functions import exploratory as X
+
+    assert all(abs(v[0]) < 1e-12 for v in X.directional_features(np.full((1, 32, 32), 0.4)).values())
