@@ -41,6 +41,21 @@ def normal_p(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
 
 
+def sign_flip_p(deltas: list[float], exact: int = 18) -> float:
+    """Two-sided p of the mean of paired differences when each sign is a coin: all flips up to ``exact`` differences,
+    beyond that the normal approximation."""
+    d = [x for x in deltas if x]
+    if not d:
+        return 1.0
+    seen = abs(sum(d))
+    if len(d) > exact:
+        return normal_p(seen / math.sqrt(sum(x * x for x in d)))
+    sums = [0.0]
+    for x in d:
+        sums = [s + x for s in sums] + [s - x for s in sums]
+    return sum(abs(s) >= seen - 1e-12 for s in sums) / len(sums)
+
+
 def with_welch_p(table: DataFrame) -> DataFrame:
     """(feature, t, df, p) of a class_statistics() result, one row a feature."""
     kind = table.schema["feature"].dataType.simpleString()

@@ -159,6 +159,38 @@ def materialise_features(images: DataFrame, out: str, keep: list[str], side: int
         spark.createDataFrame([(b, min(b, len(order)), order[:b])], "budget int, feature_count int, features array<string>").coalesce(1).write.mode(mode).json(f"{out}/selected_features_{b}")
 
 
+def read_processed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
+    """The canonical images of a folder that materialise_images() wrote, and their counts by label."""
+    d = spark.read.parquet(f"{folder}/images")
+    counts = {str(r["label_a"]): r["count"] for r in d.groupBy("label_a").count().collect()} if "label_a" in d.columns else {}
+    return d, {"total": d.count(), "by_label_a": counts}
+
+
+def read_ranking(spark: SparkSession, path: str) -> list[str]:
+    """Feature names in rank order from a CSV with rank and feature; registry order where the file is missing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        d = spark.read.csv(path, header=True)
+    except AnalysisException:
+        return list(P.NAMES)
+    return [r["feature"] for r in d.orderBy(F.col("rank").cast("int")).select("feature").collect()]
+
+
+def inspect(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """(file, rows, bytes) of each Parquet file under a folder, and the schema as JSON; only footers are read."""
+    d = spark.read.option("recursiveFileLookup", "true").parquet(folder)
+    files = d.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
+    return files, d.schema.json()
+
+
+def paired_files(left: DataFrame, right: DataFrame, key: str = "name") -> tuple[DataFrame, DataFrame]:
+    """Rows of both listings under one key, and the keys that only one of them has, with its side."""
+    both = left.join(right, key)
+    lone = left.join(right, key, "left_anti").select(key, F.lit("left").alias("side")).union(right.join(left, key, "left_anti").select(key, F.lit("right").alias("side")))
+    return both, lone
+
+
 class FeatureTable:
     """Reader of a feature table: features by budget, names or branches, kept apart from metadata."""
 

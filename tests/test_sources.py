@@ -149,3 +149,16 @@ def test_stream_gives_the_rows_of_the_table(spark, images, tmp_path):
 def test_report(spark):
     js, md = corpus.render_report({"a": spark.createDataFrame([(1, "x")], "n int, s string")})
     assert '"n": 1' in js and "| 1 | x |" in md
+
+
+def test_inspection_pairs_and_rankings(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
+    files, schema = corpus.inspect(spark, str(tmp_path / "t"))
+    got = files.collect()
+    assert [r["rows"] for r in got] == [10] and got[0]["bytes"] > 0 and '"id"' in schema
+    a, b = (spark.createDataFrame([(x,) for x in v], "name string") for v in (["1", "2"], ["2", "3"]))
+    both, lone = corpus.paired_files(a, b)
+    assert [r["name"] for r in both.collect()] == ["2"] and sorted(map(tuple, lone.collect())) == [("1", "left"), ("3", "right")]
+    spark.createDataFrame([(2, "b"), (1, "a"), (10, "c")], "rank int, feature string").coalesce(1).write.csv(str(tmp_path / "r"), header=True)
+    assert corpus.read_ranking(spark, str(tmp_path / "r")) == ["a", "b", "c"]
+    assert corpus.read_ranking(spark, str(tmp_path / "none")) == list(P.NAMES)

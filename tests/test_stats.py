@@ -90,3 +90,9 @@ def test_signature_without_tables(spark):
     df = spark.createDataFrame([([],), ([bytearray(b"x")],)], "t array<binary>")
     got = [r[0] for r in df.select(audit.signature(F.col("t"))).collect()]
     assert got[0] == "NO_Q_TABLE" and got[1].startswith("T0:")
+
+
+def test_sign_flips():
+    assert models.sign_flip_p([1.0, 2.0, 3.0]) == 2 / 8
+    assert models.sign_flip_p([]) == models.sign_flip_p([0.0]) == 1.0
+    assert models.sign_flip_p([1.0] * 30) < 1e-6
