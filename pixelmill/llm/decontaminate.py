@@ -20,7 +20,7 @@ SEED, LEAST, SIMILAR = 3, 8, 0.8
 RARE, SHARE, SLACK = 1e-6, 0.5, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of benchmark text in one block; each block is sent to the tasks by itself.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_000_000
 #: Different words of a block are fewer than this, so that the numbers of three make one 63-bit code.
 WORDS = 1 << 20
 _WORD = re.compile(r"\w+")
@@ -129,18 +129,19 @@ class Matcher:
         return sorted(out)
 
 
-def blocks_of(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """Items in blocks of BLOCK_BYTES, made by id range on the driver one at a time; the benchmark is the stated query
+def blocks_of(benchmark: DataFrame):
+    """Items in blocks of BLOCK_BYTES, read in order of ids, one block at a time; the benchmark is the stated query
     set. Items without id or text take no part; a repeated item counts once."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text")
-    out, block, size = [], [], 0
+    block, size = [], 0
     for r in items.toLocalIterator():
         if block and size + len(r["text"]) > BLOCK_BYTES:
-            out.append(block)
+            yield block
             block, size = [], 0
         block.append((r["item_id"], r["text"]))
         size += len(r["text"])
-    return [*out, block] if block else out
+    if block:
+        yield block
 
 
 def word_rates(docs: DataFrame, words: set[str]) -> dict[str, float]:

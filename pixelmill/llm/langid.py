@@ -75,15 +75,18 @@ def fit(docs: DataFrame, holdout: tuple[int, int] = (4, 2)) -> tuple[list[str],
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).where(U.fold(F.col("doc_id"), holdout[0]) != holdout[1])
 
     def counted(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() % 32  # the same if the task runs again
         sums: dict[str, np.ndarray] = {}
         for pdf in batches:
-            for lang, part in pdf.groupby("lang"):
-                texts = part.text.tolist()
+            for lang, rows_ in pdf.groupby("lang"):
+                texts = rows_.text.tolist()
                 total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for s in _blocks(texts):
                     total += np.bincount(hashed(texts[s])[0], minlength=BUCKETS)
         if sums:
-            yield pd.DataFrame({"lang": list(sums), "part": int(np.random.default_rng().integers(0, 32)), "m": [x.tobytes() for x in sums.values()]})
+            yield pd.DataFrame({"lang": list(sums), "part": part, "m": [x.tobytes() for x in sums.values()]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "part": [0], "m": [sum(np.frombuffer(x, np.int64) for x in pdf.m).tobytes()]})

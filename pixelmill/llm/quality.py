@@ -109,6 +109,9 @@ def fit(stats: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (4, 2))
     d = 1 + N_STATS + FEATURES
 
     def partial(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() % 32  # the same if the task runs again
         sums = np.zeros((FOLDS, d, d + 1))
         for pdf in batches:
             if len(pdf):
@@ -117,7 +120,7 @@ def fit(stats: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (4, 2))
                     zk = z[f == k]
                     sums[k] += np.hstack([zk.T @ zk, (zk.T @ t[f == k])[:, None]])
         if sums.any():
-            yield pd.DataFrame({"fold": range(FOLDS), "part": np.random.default_rng().integers(0, 32), "m": [s.tobytes() for s in sums]})
+            yield pd.DataFrame({"fold": range(FOLDS), "part": part, "m": [s.tobytes() for s in sums]})
 
     def added(keys: list[str]):
         def add(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -81,9 +81,14 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def slot_bytes(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame) -> DataFrame:
+    """sized() rows, equal ones counted as ``n``."""
+    return sized(docs).groupBy("doc_id", "size", "text_crc32", "virtual_slot").agg(F.count(F.lit(1)).alias("n"))
+
+
+def slot_bytes(counted_rows: DataFrame) -> DataFrame:
     """(virtual_slot, rows, bytes) of the slots in use."""
-    return sized(docs).groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
+    return counted_rows.groupBy("virtual_slot").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("size")).alias("bytes"))
 
 
 def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -94,10 +99,10 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     that repeats without bound stays one row until it is spread in chunks. Empty input gives no rows.
     """
     spark = docs.sparkSession
-    rows = sized(docs).groupBy("doc_id", "size", "text_crc32", "virtual_slot").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted(docs)
     maps = map_table(spark, {1: plan_slots(shards), 2: plan_slots(shards + 1)})
     maps = maps.groupBy("virtual_slot").agg(F.max(F.when(F.col("version") == 1, F.col("shard"))).alias("shard"), F.max(F.when(F.col("version") == 2, F.col("shard"))).alias("grown_shard"))
-    used = F.broadcast(maps.join(F.broadcast(slot_bytes(docs)), "virtual_slot", "left"))  # SLOTS rows
+    used = F.broadcast(maps.join(F.broadcast(slot_bytes(rows)), "virtual_slot", "left"))  # SLOTS rows
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     used = used.withColumn("start", F.coalesce(F.sum(F.coalesce("rows", F.lit(0))).over(before), F.lit(0))).drop("rows")
     upto = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
