@@ -18,6 +18,7 @@ from . import _util as U
 #: Cosine features, kernel width in units of the median distance, ridge strength per row, folds, seed.
 FEATURES, WIDTH, RIDGE, FOLDS, SEED = 192, 1.0, 1e-4, 3, 7
 N_STATS = 18
+PARTS = 16  # first sums of the partitions' matrices, 180 kB each
 ACCEPT = 0.7
 _UPPER, _LOWER, _DIGIT = (bytes(range(*r)) for r in ((65, 91), (97, 123), (48, 58)))
 _SPACE, _STOP, _HIGH = b" \t\n\r\x0b\x0c", b".,;:?'\"-", bytes(range(128, 256))
@@ -107,11 +108,12 @@ def fit(stats: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (4, 2))
     mean, scale = (np.array([got[f"{k}{i}"] for i in range(N_STATS)]) for k in "ms")
     scale = np.where(scale > 1e-9, scale, 1.0)
     d = 1 + N_STATS + FEATURES
+    upper = np.triu_indices(d)  # the matrices are symmetric
 
     def partial(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId() % 32  # the same if the task runs again
+        part = TaskContext.get().partitionId() % PARTS  # the same if the task runs again
         sums = np.zeros((FOLDS, d, d + 1))
         for pdf in batches:
             if len(pdf):
@@ -120,7 +122,7 @@ def fit(stats: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (4, 2))
                     zk = z[f == k]
                     sums[k] += np.hstack([zk.T @ zk, (zk.T @ t[f == k])[:, None]])
         if sums.any():
-            yield pd.DataFrame({"fold": range(FOLDS), "part": part, "m": [s.tobytes() for s in sums]})
+            yield pd.DataFrame({"fold": range(FOLDS), "part": part, "m": [np.concatenate([s[:, :d][upper], s[:, d]]).tobytes() for s in sums]})
 
     def added(keys: list[str]):
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +132,13 @@ def fit(stats: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (4, 2))
         return lambda df: df.groupBy(*keys).applyInPandas(add, "fold int, part int, m binary")
 
     sums = added(["fold"])(added(["fold", "part"])(rows.mapInPandas(partial, "fold int, part int, m binary")))
-    by = {r["fold"]: np.frombuffer(r["m"]).reshape(d, d + 1) for r in sums.collect()}
+    by = {}
+    for r in sums.collect():
+        v, full = np.frombuffer(r["m"]), np.zeros((d, d + 1))
+        full[:, :d][upper] = v[:-d]
+        full[:, :d] += np.triu(full[:, :d], 1).T
+        full[:, d] = v[-d:]
+        by[r["fold"]] = full
     total = sum(by.values())
 
     def solve(s: np.ndarray) -> np.ndarray:
