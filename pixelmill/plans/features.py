@@ -133,12 +133,22 @@ def feature_names(extractors: tuple[str, ...], side: int = 16) -> list[str]:
     return list(compute(np.zeros((1, 3, side, side)), extractors))
 
 
+def image_batches(spark: SparkSession, rows: int = 64) -> None:
+    """Hold the session's Arrow batches to ``rows`` rows: an image of 256 x 256 has 196 kB, and a Python worker has a
+    whole batch in memory. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def extract(images: DataFrame, side: int, branches=CANONICAL, keep: list[str] = (), image_col: str = "image_rgb", qualities: tuple[int, ...] = (), batch: int = 32) -> DataFrame:
     """(keep..., [quality,] features float) of each image in one Arrow pass; metadata ride along, so nothing is joined.
 
     With ``qualities`` each image also gives a row for each JPEG quality (100: clean). Images are row-major 8-bit colour.
     A feature that is not finite fails the job.
     """
+    image_batches(images.sparkSession)
     extractors = resolve(branches)
     names = feature_names(extractors, side)
     fields = [images.schema[k] for k in keep]

@@ -96,6 +96,7 @@ def jpeg_header(data: bytes) -> dict | None:
 
 def image_headers(df: DataFrame, key: str, data: str) -> DataFrame:
     """(key, bytes, width, height, components, tables, error): errors are collected, not raised."""
+    P.image_batches(df.sparkSession)
 
     def run(pdfs):
         for pdf in pdfs:
@@ -118,6 +119,7 @@ def image_headers(df: DataFrame, key: str, data: str) -> DataFrame:
 def preprocess(images: DataFrame, keep: list[str], side: int = 256) -> DataFrame:
     """(keep..., image_rgb, error): decoded BGR images (width, height, channels, data) become canonical 8-bit colour;
     a row that fails has its error and no image, so keys never shift."""
+    P.image_batches(images.sparkSession)
 
     def run(pdfs):
         for pdf in pdfs:
