@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _util as U
+
 #: Words of a seed; items of fewer words than LEAST prove nothing. A copy with a fifth of its words changed may keep no
 #: run of five, but always keeps one of three, so seeds are shorter than five words; the alignment decides at 0.8.
 SEED, LEAST, SIMILAR = 3, 8, 0.8
@@ -166,6 +168,7 @@ FOUND = "array<struct<item_id:long,similarity:double,start:int,end:int>>"
 
 def leaks_column(docs: DataFrame, benchmark: DataFrame) -> list:
     """One column function a block: text -> leaks found in the whole text. Each task has one block at a time."""
+    U.small_batches(docs)
     out = []
     spark = docs.sparkSession
     for block in blocks_of(benchmark):

@@ -138,6 +138,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs`` (doc_id, text, lang); rows of fold 2 of 4 teach
     nothing, repeated rows are each predicted, an empty table gives no rows."""
+    U.small_batches(docs)
     langs, logp = fit(docs)
     out = predict(docs, langs, logp)
     return out.select("doc_id", (U.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import _util as U
+
 #: Ids in a row of the matrix, rows' worth of ids packed at a time, chunks of text kept with their ids, and padding.
 LENGTH, GROUP_ROWS, CACHE, PAD = 2048, 2048, 300_000, 50256
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -147,6 +149,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) ->
     without ids (null or empty text) is a segment of no ids, so every row of the input appears. Null ids stay null
     and repeated rows are packed each. Tasks pack what they read, in groups of bounded size, so nothing is shuffled.
     """
+    U.small_batches(docs)
 
     def packed(batches):
         from pyspark import TaskContext

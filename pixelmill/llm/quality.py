@@ -99,6 +99,7 @@ def fit(stats: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (4, 2))
     Every labelled row counts; each partition sums its own normal equations by fold, and the sums are added by a
     second, distributed step, so that the driver gets one small matrix for each fold.
     """
+    U.small_batches(stats)
     y = U.single_label(labels, "quality").where(U.fold(F.col("doc_id"), holdout[0]) != holdout[1])
     rows = U.checkpoint(stats.where(F.col("doc_id").isNotNull()).join(y, "doc_id").select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")))
     aggs = [f(F.col("stats")[i]).alias(f"{n}{i}") for i in range(N_STATS) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
@@ -172,6 +173,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts get the score of an empty document; repeated rows each get theirs; without any labelled
     row every score is 1. Labels, lang, source and doc_id never enter a score.
     """
+    U.small_batches(docs)
     stats = U.checkpoint(docs.select(F.col("doc_id"), stats_of("text").alias("stats")))
     out = scored(stats, fit(stats, labels), F.col("stats"))
     return out.select("doc_id", (U.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
@@ -179,6 +181,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with their columns; texts are never shuffled."""
+    U.small_batches(docs)
     model = fit(docs.select("doc_id", stats_of("text").alias("stats")), labels)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumn("stats", stats_of.asNondeterministic()("row.text"))

@@ -148,6 +148,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     share a fingerprint and so a component; null and empty texts have fingerprint zero and link like others; rows
     without an id link others but name no component (null where no id is reachable).
     """
+    U.small_batches(docs)
     rows = U.checkpoint(docs.select(F.col("doc_id"), fingerprint_of("text").alias("fp")))
     ids = U.checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     member = U.checkpoint(U.connected_components(links(ids)).join(ids.withColumnRenamed("fp", "node"), "node"))

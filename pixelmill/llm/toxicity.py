@@ -191,6 +191,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no window and the score of such; repeated rows each get theirs; without labelled rows
     of both classes every score is 0. Labels, lang, source and doc_id never enter a score.
     """
+    U.small_batches(docs)
     held = (U.fold(F.col("doc_id"), 3) == 1).alias("held_out")
     model = fit_dictionaries(docs, labels)
     if model.toxic:
