@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _util as U
@@ -137,10 +137,8 @@ def histogram_of(model: Model):
 def fit_dictionaries(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (3, 1)) -> Model:
     """Train on TRAIN_DOCS documents of each class, first in order of a hash of their ids, out of fold 0."""
     y = U.single_label(labels, "toxic").where(U.fold(F.col("doc_id"), holdout[0]) == 0)
-    y = y.withColumn("toxic", F.col("y") >= 0.5)
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    wanted = y.withColumn("n", F.row_number().over(w)).where(F.col("n") <= TRAIN_DOCS).select("doc_id", "toxic", "n").collect()
-    side = {r["doc_id"]: r["toxic"] for r in wanted}  # 2 * TRAIN_DOCS at most
+    first = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).select("doc_id").collect()
+    side = {r["doc_id"]: toxic for toxic in (True, False) for r in first(y.where((F.col("y") >= 0.5) == F.lit(toxic)))}
     if len(set(side.values())) < 2:
         return Model()
     picked = docs.where(F.col("doc_id").isin(list(side))).where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, TRAIN_BYTES).alias("text")).dropDuplicates(["doc_id"])
