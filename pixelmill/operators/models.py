@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 import time
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import stats
+from . import selection, stats
+
+#: Trees of a fit, and fits that share the cluster.
+TREES, FITS = 100, 4
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -70,7 +75,7 @@ def with_rank_p(table: DataFrame) -> DataFrame:
     return table.sparkSession.createDataFrame(rows, f"feature {kind}, u double, cliffs_delta double, z double, p double")
 
 
-def boosted(train: DataFrame, valid: DataFrame, features: list[int], array_col: str, label: str = "label_a", trees: int = 20) -> dict:
+def boosted(train: DataFrame, valid: DataFrame, features: list[int], array_col: str, label: str = "label_a", trees: int = TREES) -> dict:
     """Fit gradient-boosted trees on some elements of an array column and score the validation rows."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -97,15 +102,28 @@ def boosted(train: DataFrame, valid: DataFrame, features: list[int], array_col:
     return got
 
 
-def budget_validation(df: DataFrame, array_col: str, ranking: DataFrame, budgets: tuple[int, ...], trees: int = 20) -> DataFrame:
+def validation_configs(order: list[int], budgets: tuple[int, ...], branch_of: dict[int, str]) -> list[tuple[str, list[int]]]:
+    """(config, features): the first features of ``order`` for each budget, largest first, then the ablations of the
+    branches, features in table order. Everything is left out where a budget holds it already."""
+    out = [(f"mRMR_Budget_{b}", order[:b]) for b in sorted(budgets, reverse=True)]
+    for name, used in selection.ablation_branches(list(dict.fromkeys(branch_of[f] for f in sorted(branch_of)))):
+        features = [f for f in sorted(branch_of) if branch_of[f] in used]
+        if features and not (name.startswith("FULL_") and max(budgets, default=0) >= len(order)):
+            out.append((name, features))
+    return out
+
+
+def budget_validation(df: DataFrame, array_col: str, ranking: DataFrame, budgets: tuple[int, ...], branch_of: dict[int, str], trees: int = TREES) -> DataFrame:
     """(config, n_features, roc_auc, pr_auc, tpr_at_1pct, f1, accuracy, fit_s, ms_per_1000) for each budget of a
-    ranking, largest first. Rows with vec_id % 10 < 7 train."""
+    ranking, largest first, and each ablation of the branches (feature -> branch). Rows with vec_id % 10 < 7 train.
+    Up to FITS configurations run at a time, so fit_s and ms_per_1000 are times on a shared cluster."""
     order = [r["feature"] for r in ranking.orderBy("rank").collect()]
     train, valid = df.where(F.col("vec_id") % 10 < 7).persist(), df.where(F.col("vec_id") % 10 >= 7).persist()
-    rows = []
-    for b in sorted(budgets, reverse=True):
-        got = boosted(train, valid, order[:b], array_col, trees=trees)
-        rows.append((f"mRMR_Budget_{b}", *got.values()))
+    train.count(), valid.count()
+    configs = validation_configs(order, budgets, branch_of)
+    fit = inheritable_thread_target(df.sparkSession)(lambda features: boosted(train, valid, features, array_col, trees=trees))
+    with ThreadPoolExecutor(FITS) as pool:
+        rows = [(name, *got.values()) for (name, _), got in zip(configs, pool.map(fit, [f for _, f in configs]), strict=True)]
     for x in (train, valid):
         x.unpersist()
     return df.sparkSession.createDataFrame(rows, "config string, n_features int, roc_auc double, pr_auc double, tpr_at_1pct double, f1 double, accuracy double, fit_s double, ms_per_1000 double")

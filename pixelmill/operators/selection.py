@@ -52,11 +52,16 @@ def budget_lists(ranking: DataFrame) -> DataFrame:
     return got.agg(F.count(F.lit(1)).cast("int").alias("feature_count"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]).alias("features"))
 
 
-def ablations(spark: SparkSession, branches: list[str]) -> DataFrame:
+def ablation_branches(branches: list[str]) -> list[tuple[str, list[str]]]:
     """(name, branches): everything, each branch alone, growing unions, and everything without one."""
-    grown = list(accumulate(branches, lambda a, b: f"{a}+{b}"))
+    grown = list(accumulate(([b] for b in branches), lambda a, b: a + b))
     rows = [(f"FULL_{len(branches)}", branches)]
     rows += [(f"BRANCH_{b}", [b]) for b in branches]
-    rows += [(f"ADD_{g}", g.split("+")) for g in grown[1:-1]]
+    rows += [(f"ADD_{'+'.join(g)}", g) for g in grown[1:-1]]
     rows += [(f"WITHOUT_{b}", [x for x in branches if x != b]) for b in branches]
-    return spark.createDataFrame(rows, "name string, branches array<string>")
+    return rows
+
+
+def ablations(spark: SparkSession, branches: list[str]) -> DataFrame:
+    """The rows of ablation_branches() as a table."""
+    return spark.createDataFrame(ablation_branches(branches), "name string, branches array<string>")

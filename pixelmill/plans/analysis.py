@@ -81,6 +81,8 @@ def run_analysis(train: DataFrame, valid: DataFrame, out: str, images: DataFrame
     v = F.array(*[F.col(n).cast("double") for n in names]).alias("v")
     both = train.select(F.lit(0).alias("vec_id"), "label_a", v).union(valid.select(F.lit(9).alias("vec_id"), "label_a", v))
     ranked = ranking.select("rank", by[F.col("feature")].alias("feature"))
-    put("validation_results", models.budget_validation(both, "v", ranked, tuple(b for b in selection.BUDGETS if b <= len(names)) or (len(names),), trees=10))
+    of = {f.name: f.branch for f in P.REGISTRY}
+    budgets = tuple(b for b in selection.BUDGETS if b <= len(names)) or (len(names),)
+    put("validation_results", models.budget_validation(both, "v", ranked, budgets, {i: of[n] for n, i in order.items()}))
     put("run_metadata", spark.createDataFrame([(json.dumps({"features": len(names), "elapsed_s": round(time.time() - began, 3)}),)], "json string"))
     return made

@@ -205,8 +205,10 @@ def budget_subsets(spark, sf_dir):
 
 @query()
 def gbt_validation(spark, sf_dir):
-    """Boosted trees on the training split of three budgets, scored on the validation split."""
-    return models.budget_validation(vectors(spark, sf_dir), "embedding", _ranking(spark, sf_dir), (8, 16))
+    """Boosted trees on the training split of every budget that fits and every ablation of the branches, scored on the
+    validation split."""
+    budgets = tuple(b for b in selection.BUDGETS if b <= DIMS)
+    return models.budget_validation(vectors(spark, sf_dir), "embedding", _ranking(spark, sf_dir), budgets, {r["feature"]: r["branch"] for r in branches(spark).collect()})
 
 
 #: Scores for the curve operators: dimension 0, rounded so that ties occur; every row.

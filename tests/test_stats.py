@@ -96,3 +96,21 @@ def test_sign_flips():
     assert models.sign_flip_p([1.0, 2.0, 3.0]) == 2 / 8
     assert models.sign_flip_p([]) == models.sign_flip_p([0.0]) == 1.0
     assert models.sign_flip_p([1.0] * 30) < 1e-6
+
+
+def test_validation_trains_every_budget_and_ablation(spark, sf_dir, monkeypatch):
+    from pixelmill import catalog
+
+    seen = []
+
+    def fit(train, valid, features, array_col, label="label_a", trees=None):
+        seen.append((len(features), trees))
+        return dict(n_features=len(features), roc_auc=0.5, pr_auc=0.5, tpr_at_1pct=0.0, f1=0.0, accuracy=0.5, fit_s=0.0, ms_per_1000=0.0)
+
+    monkeypatch.setattr(models, "boosted", fit)
+    got = [(r["config"], r["n_features"]) for r in catalog.QUERIES["gbt_validation"](spark, sf_dir).collect()]
+    b = [f"B{i}" for i in range(4)]
+    want = [(f"mRMR_Budget_{n}", n) for n in (64, 32, 16, 8)] + [(f"BRANCH_{x}", 16) for x in b]
+    want += [("ADD_B0+B1", 32), ("ADD_B0+B1+B2", 48)] + [(f"WITHOUT_{x}", 48) for x in b]
+    assert got == want and sorted(seen) == sorted((n, 100) for _, n in want)
+    assert [n for n, _ in models.validation_configs([1, 0, 2], (2,), {0: "A", 1: "A", 2: "B"})] == ["mRMR_Budget_2", "FULL_2", "BRANCH_A", "BRANCH_B", "WITHOUT_A", "WITHOUT_B"]
