@@ -1,4 +1,5 @@
-"""SimHash near-duplicates found through tables of Hamming distances to reference fingerprints (pivots)."""
+"""SimHash near-duplicates found through tables of Hamming distances to reference fingerprints (pivots); with a
+similarity, also documents whose sets of shingles are that similar, found through MinHash bands and verified."""
 
 from __future__ import annotations
 
@@ -16,6 +17,9 @@ from . import _util as U
 SHINGLE, SEED, RADIUS, HEX = 3, 42, 2, 16
 #: Pivots: the zero fingerprint, one for each block of two neighbouring bits, and some at random.
 BLOCKS, BANDS, RANDOM_PIVOTS = 32, 6, 24
+#: For a similarity: words of a shingle, bands of MinHash values and values of a band (a pair at 0.8 shares no band with
+#: probability 3e-6), members up to which a band's pairs are listed, and bits of the mask that thins out texts.
+WORDS, MIN_BANDS, MIN_ROWS, LISTED, MASK = 5, 24, 4, 16, 2**22 - 1
 BUCKET = 128  # larger buckets of distinct fingerprints go the exact way of linked_through_neighbours()
 PIVOTS = np.concatenate(
     [
@@ -24,22 +28,28 @@ PIVOTS = np.concatenate(
         np.random.default_rng(SEED).integers(0, 2**64, RANDOM_PIVOTS, dtype=np.uint64),
     ]
 )
+_FACTOR, _SHIFT = np.random.default_rng(SEED + 1).integers(0, 2**64, (2, MIN_BANDS * MIN_ROWS, 1), dtype=np.uint64) | np.uint64(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None) -> int:
-    """64-bit SimHash of the whole text's word shingles, repeats included; zero for a null text or one without words."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes (uint64) of the whole text's word shingles, repeats included; a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
-        return h(joined, SEED)
+    if len(words) <= width:
+        return np.array([h(joined, SEED)], np.uint64)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
-    start = (end - size)[: 1 - SHINGLE]
-    n = len(start)
-    hashes = np.fromiter([h(joined[a:b], SEED) for a, b in zip(start.tolist(), end[SHINGLE - 1 :].tolist(), strict=True)], np.uint64, n)
+    start = (end - size)[: 1 - width]
+    return np.fromiter([h(joined[a:b], SEED) for a, b in zip(start.tolist(), end[width - 1 :].tolist(), strict=True)], np.uint64, len(start))
+
+
+def fingerprint(text: str | None) -> int:
+    """64-bit SimHash of the whole text's word shingles, repeats included; zero for a null text or one without words."""
+    hashes = shingle_hashes(text, SHINGLE)
+    n = len(hashes)
     by = hashes.view(np.uint8).reshape(n, 8)
     ones = np.concatenate([np.bincount(by[:, i], minlength=256) @ _BITS for i in range(8)])
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
@@ -141,9 +151,110 @@ def links(fps: DataFrame) -> DataFrame:
     return found.union(linked_through_neighbours(U.checkpoint(large)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def text_key(text: str) -> int:
+    """Signed 64-bit key of a text as it stands."""
+    x = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), SEED)
+    return x - 2**64 if x >= 2**63 else x
+
+
+def shingle_set(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(text, WORDS))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """A key (signed 64 bits) for each band of MinHash values of a set of shingles, none for an empty one."""
+    if not len(shingles):
+        return []
+    least = np.full(MIN_BANDS * MIN_ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        x = shingles[None, at : at + 4096]
+        least = np.minimum(least, ((x ^ (x >> np.uint64(29))) * _FACTOR + _SHIFT).min(axis=1))
+    got = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(MIN_BANDS, MIN_ROWS))]
+    return np.array(got, np.uint64).view(np.int64).tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def similar_texts(docs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) between text keys that connect the texts of ``docs`` (text) whose shingle sets have ``similarity``
+    and share a band; ``keys``: (key, tid) for each band of each text.
+
+    Pairs of small bands are listed and verified; a larger band is verified by one task, where a text is compared with
+    the members of each group found so far until one is similar, so that a crowd of copies takes linear time.
+    """
+    spark = docs.sparkSession
+    shared = U.checkpoint(keys.groupBy("key").agg(F.collect_set("tid").alias("tids")).where(F.size("tids") > 1))
+
+    @F.pandas_udf("array<struct<u:long,v:long>>")
+    def listed(lists: pd.Series) -> pd.Series:
+        return pd.Series([[{"u": a, "v": b} for a, b in combinations(sorted(map(int, x)), 2)] for x in lists], dtype=object)
+
+    pairs = shared.where(F.size("tids") <= LISTED).select(F.explode(listed("tids")).alias("e")).select("e.u", "e.v").distinct()
+    pairs = U.checkpoint(pairs)
+    crowd = shared.where(F.size("tids") > LISTED).select("key", F.explode("tids").alias("tid"))
+    wanted = U.checkpoint(shared.select(F.explode("tids").alias("tid")).distinct())
+    bits = np.zeros(MASK + 1, bool)
+    bits[wanted.select(F.col("tid").bitwiseAND(F.lit(MASK)).cast("int").alias("b")).distinct().toPandas().b.to_numpy(dtype=np.int64)] = True
+    handle = spark.sparkContext.broadcast(np.packbits(bits))
+
+    def picked(batches):
+        mask, seen = np.unpackbits(handle.value), set()  # a task sends a text once
+        for pdf in batches:
+            text = [t for t in pdf.text if t]
+            at = {k: t for k, t in zip(map(text_key, text), text, strict=True) if mask[k & MASK] and k not in seen}
+            seen.update(at)
+            yield pd.DataFrame({"tid": list(at), "hashes": [shingle_set(t).view(np.int64) for t in at.values()]})
+
+    sets = docs.select("text").mapInPandas(picked, "tid long, hashes array<long>").join(wanted, "tid", "left_semi")
+    sets = U.checkpoint(sets.dropDuplicates(["tid"]))
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: list[list[int]] = []
+        out, tid, held = [], pdf.tid.tolist(), [np.asarray(x) for x in pdf.hashes]
+        for i in range(len(tid)):
+            near, rest = [i], []
+            for g in groups:
+                j = next((j for j in g if jaccard(held[i], held[j]) >= similarity), None)
+                if j is None:
+                    rest.append(g)
+                else:
+                    out.append((tid[j], tid[i]))
+                    near = g + near
+            groups = [near, *rest]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    a, b = (sets.select(F.col("tid").alias(n), F.col("hashes").alias(f"h{n}")) for n in "uv")
+    few = pairs.join(a, "u").join(b, "v").where(alike("hu", "hv") >= similarity).select("u", "v")
+    return few.union(crowd.join(sets, "tid").groupBy("key").applyInPandas(grouped, "u long, v long"))
+
+
+@F.pandas_udf(T.StructType().add("tid", T.LongType()).add("keys", T.ArrayType(T.LongType())))
+def bands_of(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"tid": [text_key(t or "") for t in text], "keys": [band_keys(shingle_set(t or "")) for t in text]})
+
+
+def similar_links(docs: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) between the fingerprints of similar_texts()."""
+    texts = U.checkpoint(docs.select(fingerprint_of("text").alias("fp"), bands_of("text").alias("b")).select("fp", "b.tid", "b.keys"))
+    found = U.checkpoint(similar_texts(docs, texts.select(F.explode("keys").alias("key"), "tid"), similarity).distinct())
+    fps = texts.select("tid", "fp").distinct()
+    ends = found.join(fps.toDF("u", "fu"), "u").join(fps.toDF("v", "fv"), "v")
+    return ends.where("fu <> fv").select(F.col("fu").alias("u"), F.col("fv").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
+    Links join fingerprints within RADIUS; with ``similarity`` also texts whose sets of five-word shingles have that
+    Jaccard similarity or more.
+
     component_id is the smallest id that chains of links reach, the row's own included; repeated rows and equal texts
     share a fingerprint and so a component; null and empty texts have fingerprint zero and link like others; rows
     without an id link others but name no component (null where no id is reachable).
@@ -151,7 +262,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     U.small_batches(docs)
     rows = U.checkpoint(docs.select(F.col("doc_id"), fingerprint_of("text").alias("fp")))
     ids = U.checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    member = U.checkpoint(U.connected_components(links(ids)).join(ids.withColumnRenamed("fp", "node"), "node"))
+    edges = links(ids) if similarity is None else links(ids).union(similar_links(docs, similarity))
+    member = U.checkpoint(U.connected_components(edges).join(ids.withColumnRenamed("fp", "node"), "node"))
     roots = ids.select(F.col("fp").alias("node"), "low", F.col("fp").alias("root")).join(member.select("root").distinct(), "root", "left_semi")
     least = U.checkpoint(member.unionByName(roots).groupBy("root").agg(F.min("low").alias("component_id")))
     moved = member.unionByName(roots).join(least, "root").select(F.col("node").alias("fp"), "component_id")
@@ -159,14 +271,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(final, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), HEX, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps one document, the one with its smallest id.
 
     Of rows that repeat the kept id one stays; of rows without an id in a component that has none, one for each
     fingerprint stays.
     """
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    found = U.checkpoint(near_duplicates(docs.select("doc_id", "text")))
+    found = U.checkpoint(near_duplicates(docs.select("doc_id", "text"), similarity))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
     again = U.checkpoint(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))

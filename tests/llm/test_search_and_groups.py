@@ -167,3 +167,22 @@ def test_many_equal_rows_are_spread_in_chunks(spark, monkeypatch):
     df = spark.range(100).selectExpr("5L AS doc_id", "'a' AS text")
     got = sharding.assign(df).toPandas()
     assert sorted(got.slot) == list(range(100))
+
+
+def test_edited_copies_of_ordinary_documents_go(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+
+    def edited(words, n):
+        return [f"e{rng.integers(10**9)}" if i in set(np.linspace(20, len(words) - 20, n, dtype=int).tolist()) else w for i, w in enumerate(words)]
+
+    base = [[f"w{x}" for x in rng.integers(0, 10**6, 300)] for _ in range(6)]
+    texts = [" ".join(b) for b in base] + [" ".join(edited(b, 5)) for b in base] + [" ".join(edited(b, 40)) for b in base]
+    rows = list(enumerate(texts)) + [(100, None), (101, ""), (102, "short text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [simhash.shingle_set(t) for t in texts]
+    assert all(simhash.jaccard(sets[i], sets[i + 6]) >= 0.8 > simhash.jaccard(sets[i], sets[i + 12]) for i in range(6))
+    want = [*range(6), *range(12, 18), 100, 102]
+    for most in (simhash.LISTED, 1):  # pairs listed, or bands verified whole
+        monkeypatch.setattr(simhash, "LISTED", most)
+        assert sorted(r["doc_id"] for r in simhash.one_of_each(df, 0.8).collect()) == want
+    assert simhash.one_of_each(df.where("false"), 0.8).count() == 0
