@@ -249,6 +249,20 @@ def similar_links(docs: DataFrame, similarity: float) -> DataFrame:
     return ends.where("fu <> fv").select(F.col("fu").alias("u"), F.col("fv").alias("v")).distinct()
 
 
+def members(docs: DataFrame, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of ``docs``; ``root`` is a fingerprint that names the component."""
+    U.small_batches(docs)
+    rows = U.checkpoint(docs.select(F.col("doc_id"), fingerprint_of("text").alias("fp")))
+    ids = U.checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    edges = links(ids) if similarity is None else links(ids).union(similar_links(docs, similarity))
+    member = U.checkpoint(U.connected_components(edges).join(ids.withColumnRenamed("fp", "node"), "node"))
+    roots = ids.select(F.col("fp").alias("node"), "low", F.col("fp").alias("root")).join(member.select("root").distinct(), "root", "left_semi")
+    least = U.checkpoint(member.unionByName(roots).groupBy("root").agg(F.min("low").alias("component_id")))
+    moved = member.unionByName(roots).join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    final = U.checkpoint(ids.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id")))
+    return rows.join(final, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -259,37 +273,37 @@ def near_duplicates(docs: DataFrame, similarity: float | None = None) -> DataFra
     share a fingerprint and so a component; null and empty texts have fingerprint zero and link like others; rows
     without an id link others but name no component (null where no id is reachable).
     """
-    U.small_batches(docs)
-    rows = U.checkpoint(docs.select(F.col("doc_id"), fingerprint_of("text").alias("fp")))
-    ids = U.checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    edges = links(ids) if similarity is None else links(ids).union(similar_links(docs, similarity))
-    member = U.checkpoint(U.connected_components(edges).join(ids.withColumnRenamed("fp", "node"), "node"))
-    roots = ids.select(F.col("fp").alias("node"), "low", F.col("fp").alias("root")).join(member.select("root").distinct(), "root", "left_semi")
-    least = U.checkpoint(member.unionByName(roots).groupBy("root").agg(F.min("low").alias("component_id")))
-    moved = member.unionByName(roots).join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    final = U.checkpoint(ids.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
-    return rows.join(final, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), HEX, "0").alias("fingerprint"), "component_id")
+    found = members(docs, similarity)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), HEX, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps one document, the one with its smallest id.
 
-    Of rows that repeat the kept id one stays; of rows without an id in a component that has none, one for each
-    fingerprint stays.
+    Of rows that repeat the kept id in the component one stays; of rows without an id in a component that has none, one
+    for each fingerprint stays. An id whose rows have different fingerprints is decided row by row.
     """
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    found = U.checkpoint(near_duplicates(docs.select("doc_id", "text"), similarity))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    found = U.checkpoint(members(docs.select("doc_id", "text"), similarity))
+    named = found.where("doc_id IS NOT NULL")
+    more = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), (F.min("fp") != F.max("fp")).alias("mixed")).where("n > 1")
+    more = U.checkpoint(more.select("doc_id", "mixed"))
+    mixed = more.where("mixed").select("doc_id")
+    gone = named.where("doc_id <> component_id").select("doc_id").union(mixed).distinct()
     kept = docs.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
-    again = U.checkpoint(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    again = more.where("NOT mixed").select("doc_id")
     if not again.isEmpty():
         w = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
         first = kept.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1")
         kept = kept.join(again, "doc_id", "left_anti").select(*cols).union(first.select(*cols))
-    bare = found.where("doc_id IS NULL AND component_id IS NULL").select("fingerprint").distinct()
+    if not mixed.isEmpty():
+        w = Window.partitionBy("_root").orderBy(F.col("text").asc_nulls_last())
+        at = named.where("doc_id = component_id").join(mixed, "doc_id", "left_semi").select("doc_id", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+        rows = docs.join(mixed, "doc_id", "left_semi").withColumn("_fp", fingerprint_of("text")).join(at, ["doc_id", "_fp"])
+        kept = kept.select(*cols).union(rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*cols))
+    bare = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp")).distinct()
     if not bare.isEmpty():
-        hexed = F.lpad(F.lower(F.hex(fingerprint_of("text"))), HEX, "0")
-        null = docs.where(F.col("doc_id").isNull()).withColumn("_fp", hexed)
-        null = null.join(bare.withColumnRenamed("fingerprint", "_fp"), "_fp", "left_semi").dropDuplicates(["_fp"])
+        null = docs.where(F.col("doc_id").isNull()).withColumn("_fp", fingerprint_of("text"))
+        null = null.join(bare, "_fp", "left_semi").dropDuplicates(["_fp"])
         kept = kept.select(*cols).union(null.select(*cols))
     return kept.select(*cols)

@@ -186,3 +186,11 @@ def test_edited_copies_of_ordinary_documents_go(spark, monkeypatch):
         monkeypatch.setattr(simhash, "LISTED", most)
         assert sorted(r["doc_id"] for r in simhash.one_of_each(df, 0.8).collect()) == want
     assert simhash.one_of_each(df.where("false"), 0.8).count() == 0
+
+
+def test_repeated_ids_with_different_texts_lose_no_component(spark):
+    a, b, c, d = ("one two three four five six", "red green blue white black grey", "sun moon star sky cloud rain", "salt corn rice bean leaf root")
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (9, d), (9, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for similarity in (None, 0.8):
+        assert sorted(tuple(r) for r in simhash.one_of_each(df, similarity).collect()) == [(3, a), (5, b), (9, d), (9, c)]
