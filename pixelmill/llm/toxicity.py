@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from . import _util as U
 
-#: Documents of each class that dictionaries are trained on at most, and bytes of each that are used (a documented
-#: bound; calibration uses every other labelled row). Bytes of the dictionaries; what makes a word telling; words
-#: whose gains a worker keeps.
-TRAIN_DOCS, TRAIN_BYTES, ORDINARY_BYTES, TOXIC_BYTES, RECUR, CONTRAST, CACHE = 1500, 16384, 4096, 4096, 3, 12, 200_000
+#: Documents of each class that dictionaries are trained on at most, and bytes of their whole texts in each class (a
+#: documented bound; documents are taken in order of a hash of their ids while they fit, and calibration uses every
+#: labelled row). Parts of the training rows for cross-fitting. Bytes of the dictionaries; what makes a word telling;
+#: words whose gains a worker keeps.
+TRAIN_DOCS, TRAIN_BYTES, PARTS, ORDINARY_BYTES, TOXIC_BYTES, RECUR, CONTRAST, CACHE = 1500, 16_000_000, 5, 4096, 4096, 4, 20, 200_000
 ACCEPT = 0.7
 STEADY = 30  # windows added to each document's number, so that short ones do not swing
 GAINS = 8  # gains of a window are held to -GAINS..GAINS
@@ -84,32 +85,21 @@ class Gains:
         return out
 
 
-@dataclass
-class Model:
-    """Two dictionaries (25 kB together), the weight of each gain, and the isotonic knots; None: nothing learned."""
-
-    ordinary: bytes = b""
-    toxic: bytes = b""
-    weight: np.ndarray | None = None
-    knots: tuple | None = None
-    prior: float = 0.0
-
-
-def telling(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Toxic documents reduced to the words that ordinary ones hardly hold: between RECUR different pairs of neighbours
-    at least, so that copies do not count again, and CONTRAST times as often by document as in ordinary ones. Toxic
-    documents are mostly ordinary prose, and a dictionary of it would save bytes on any text."""
-    sides = [[windows(t) for t in side] for side in (toxic, ordinary)]
-    around = Counter(w for _, w, _ in {x for ws in sides[0] for x in zip([b"", *ws], ws, [*ws[1:], b""], strict=False)})
-    held, plain = (Counter(w for ws in side for w in set(ws)) for side in sides)
+def telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
+    """Toxic documents, given as windows, reduced to the words that ordinary ones hardly hold: between RECUR different
+    pairs of neighbours at least, so that copies do not count again, and CONTRAST times as often by document as in
+    ordinary ones. Toxic documents are mostly ordinary prose, and a dictionary of it would save bytes on any text."""
+    around = Counter(w for _, w, _ in {x for ws in toxic for x in zip([b"", *ws], ws, [*ws[1:], b""], strict=False)})
+    held, plain = (Counter(w for ws in side for w in set(ws)) for side in (toxic, ordinary))
     m, n = len(toxic) + 1, len(ordinary) + 1
     told = {w for w, c in held.items() if around[w] >= max(RECUR, m // 100) and (c + 0.5) / m >= CONTRAST * (plain[w] + 0.5) / n}
-    return [b" " + b"  ".join(x) + b" " for ws in sides[0] if (x := [w for w in ws if w in told])]
+    return [b" " + b"  ".join(x) + b" " for ws in toxic if (x := [w for w in ws if w in told])]
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """(ordinary content, toxic content); the toxic one is empty where no word tells the classes apart."""
-    base = train([(t or "").lower().encode("utf-8", "replace") for t in ordinary], ORDINARY_BYTES)
+def train_dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """(ordinary content, toxic content) from the windows of documents; the toxic one is empty where no word tells the
+    classes apart."""
+    base = train([b" ".join(ws) for ws in ordinary], ORDINARY_BYTES)
     samples = telling(toxic, ordinary)
     words = Counter(w for x in samples for w in x.split())
     # every telling word once, the commonest last, where matches cost least, behind what training makes of them all
@@ -117,59 +107,99 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     return base.rjust(16), train(samples, TOXIC_BYTES // 2) + whole if samples else b""
 
 
-@lru_cache(1)
+@lru_cache(PARTS + 1)
 def _gains(ordinary: bytes, toxic: bytes) -> Gains:
     return Gains(ordinary, toxic)
 
 
-def histogram_of(model: Model):
-    """Column function: text -> array<int>, how many windows have each gain."""
-    ordinary, toxic = model.ordinary, model.toxic
+@dataclass
+class Model:
+    """Dictionaries trained on all training rows, those trained without each part of them (25 kB a pair), the weight of
+    each gain, and the isotonic knots; None: nothing learned."""
+
+    whole: tuple[bytes, bytes] = (b"", b"")
+    without: tuple[tuple[bytes, bytes], ...] = ()
+    weight: np.ndarray | None = None
+    knots: tuple | None = None
+
+
+def part_of(doc_id):
+    """Part of the training rows that an id belongs to."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(PARTS)), F.lit(PARTS)).cast("int")
+
+
+def histogram_of(pairs: list[tuple[bytes, bytes]]):
+    """Column function: (text, number of a pair of dictionaries) -> array<int>, how many windows have each gain."""
 
     @F.pandas_udf("array<int>")
-    def count(text: pd.Series) -> pd.Series:
-        gains = _gains(ordinary, toxic)
-        return pd.Series([gains(windows(t)) for t in text], dtype=object)
+    def count(text: pd.Series, pair: pd.Series) -> pd.Series:
+        gains = [_gains(*p) for p in pairs]
+        return pd.Series([gains[k](windows(t)) for t, k in zip(text, pair, strict=True)], dtype=object)
 
     return count
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int]) -> list[tuple[int, bool, list[bytes]]]:
+    """(part, toxic, windows of the whole text) of TRAIN_DOCS and TRAIN_BYTES of each class at most. Repeated ids count
+    once, with their smallest text."""
+    y = U.single_label(labels, "toxic").where(U.fold(F.col("doc_id"), holdout[0]) != holdout[1])
+    rows = y.select("doc_id", (F.col("y") >= 0.5).alias("toxic"), F.xxhash64("doc_id").alias("h"), part_of(F.col("doc_id")).alias("part"))
+    first = lambda toxic: rows.where(F.col("toxic") == F.lit(toxic)).orderBy("h", "doc_id").limit(TRAIN_DOCS)
+    picked = U.checkpoint(first(True).unionAll(first(False)))
+    if picked.isEmpty():
+        return []
+    # 2 * TRAIN_DOCS rows: a bounded broadcast
+    size = docs.where(F.col("text").isNotNull()).select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(picked), "doc_id")
+    size = size.groupBy("doc_id", "toxic", "part", "h").agg(F.min("n").alias("n"))
+    left, side = {True: TRAIN_BYTES, False: TRAIN_BYTES}, {}
+    for r in sorted(size.collect(), key=lambda r: (r["h"], r["doc_id"])):
+        if r["n"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["n"]
+            side[r["doc_id"]] = (r["part"], r["toxic"], r["n"])
+    if not side:
+        return []
+    texts = docs.where(F.col("doc_id").isin(list(side))).where(F.col("text").isNotNull())
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.octet_length("text").alias("n"), "text")).alias("x")).select("doc_id", "x.text")
+    return [(*side[r["doc_id"]][:2], windows(r["text"])) for r in sorted(texts.collect(), key=lambda r: r["doc_id"])]
+
+
 def fit_dictionaries(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (3, 1)) -> Model:
-    """Train on TRAIN_DOCS documents of each class, first in order of a hash of their ids, out of fold 0."""
-    y = U.single_label(labels, "toxic").where(U.fold(F.col("doc_id"), holdout[0]) == 0)
-    first = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).select("doc_id").collect()
-    side = {r["doc_id"]: toxic for toxic in (True, False) for r in first(y.where((F.col("y") >= 0.5) == F.lit(toxic)))}
-    if len(set(side.values())) < 2:
+    """Dictionaries from the training rows, and for each part of them from the other parts, so that calibration never
+    meets a window that its dictionaries were trained on."""
+    rows = training_rows(docs, labels, holdout)
+    if len({toxic for _, toxic, _ in rows}) < 2:
         return Model()
-    picked = docs.where(F.col("doc_id").isin(list(side))).where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, TRAIN_BYTES).alias("text")).dropDuplicates(["doc_id"])
-    got = sorted((r["doc_id"], r["text"]) for r in picked.collect())
-    ordinary, toxic = train_dictionaries([t for i, t in got if side[i]], [t for i, t in got if not side[i]])
-    return Model(ordinary, toxic)
+
+    def trained(out: int | None) -> tuple[bytes, bytes]:
+        kept = [(toxic, ws) for part, toxic, ws in rows if part != out]
+        return train_dictionaries([ws for toxic, ws in kept if toxic], [ws for toxic, ws in kept if not toxic])
+
+    return Model(trained(None), tuple(trained(k) for k in range(PARTS)))
 
 
 def calibrate(model: Model, hist: DataFrame, labels: DataFrame, holdout: tuple[int, int] = (3, 1)) -> Model:
-    """Weights and isotonic knots from every labelled row of the folds that are neither held out nor trained on.
+    """Weights and isotonic knots from every labelled row outside the held-out fold, by the histogram ``c`` that the
+    dictionaries without its part give.
 
     A gain's weight is its log odds among windows of toxic against ordinary documents, one weight for all windows that
     save nothing; a document's raw score is the sum over its windows, scaled by the root of their number.
     """
-    f = U.fold(F.col("doc_id"), holdout[0])
-    y = U.single_label(labels, "toxic").where((f != holdout[1]) & (f != 0))
-    rows = U.checkpoint(hist.where(F.col("doc_id").isNotNull()).join(y, "doc_id").select("h", (F.col("y") >= 0.5).cast("int").alias("y")))
+    y = U.single_label(labels, "toxic").where(U.fold(F.col("doc_id"), holdout[0]) != holdout[1])
+    rows = U.checkpoint(hist.where(F.col("doc_id").isNotNull()).join(y, "doc_id").select(F.col("c").alias("h"), (F.col("y") >= 0.5).cast("int").alias("y")))
     n = 2 * GAINS + 1
     sums = {r["y"]: np.array([r[f"g{i}"] for i in range(n)], float) for r in rows.groupBy("y").agg(*[F.sum(F.col("h")[i]).alias(f"g{i}") for i in range(n)]).collect()}
     if len(sums) < 2:
-        return Model(model.ordinary, model.toxic, None, None, 0.0)
+        return model
     odds = []
     for k in (1, 0):
         v = np.concatenate([[sums[k][: GAINS + 1].sum()], sums[k][GAINS + 1 :]]) + 0.5
         odds.append(np.log(v / v.sum()))
     weight = np.maximum.accumulate(odds[0] - odds[1])
     weight = np.concatenate([np.full(GAINS, weight[0]), weight])
-    out = Model(model.ordinary, model.toxic, weight)
+    out = Model(model.whole, model.without, weight)
 
     knots = U.fit_isotonic(rows.select(raw_of(out)("h").alias("raw"), "y"), "raw", "y", 0.05)
-    return Model(model.ordinary, model.toxic, weight, knots)
+    return Model(model.whole, model.without, weight, knots)
 
 
 def raw_of(model: Model):
@@ -186,14 +216,20 @@ def raw_of(model: Model):
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text), all windows of whole texts.
 
-    Null and empty texts have no window and the score of such; repeated rows each get theirs; without labelled rows
-    of both classes every score is 0. Labels, lang, source and doc_id never enter a score.
+    Null and empty texts have no window and the score of such; words of over 256 bytes are windows of 256 each, so very
+    long texts are only longer lists; repeated rows each get theirs; ties share a score; other columns of ``docs`` are
+    not read, whatever their names; an empty table gives no rows, and without labelled rows of both classes every
+    score is 0. Labels, lang, source and doc_id never enter a score.
     """
     U.small_batches(docs)
     held = (U.fold(F.col("doc_id"), 3) == 1).alias("held_out")
     model = fit_dictionaries(docs, labels)
-    if model.toxic:
-        hist = U.checkpoint(docs.select("doc_id", histogram_of(model)("text").alias("h")))
+    if model.whole[1]:
+        # every row is scored by the dictionaries of all training rows (h) and by those without its own part (c)
+        pairs = [*model.without, model.whole]
+        count = histogram_of(pairs)
+        part = F.coalesce(part_of(F.col("doc_id")), F.lit(0))
+        hist = U.checkpoint(docs.select("doc_id", count("text", F.lit(PARTS)).alias("h"), count("text", part).alias("c")))
         model = calibrate(model, hist, labels)
     if model.knots is None:
         return docs.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))

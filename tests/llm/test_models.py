@@ -31,7 +31,19 @@ def test_quality_on_held_out_documents(spark, small):
 
 def test_toxicity_on_held_out_documents(spark, small):
     h = held_out(spark, small, "op5_toxicity", "toxic", 3, 1)
-    assert (h.predicted == h.toxic).mean() > 0.88 and h.predicted[h.toxic == 0].mean() < 0.03
+    assert h.predicted[h.toxic == 1].mean() > 0.8 and h.predicted[h.toxic == 0].mean() < 0.03
+
+
+def test_toxicity_trains_on_whole_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "plain " * 9000 + f"last{i}") for i in range(12)] + [(0, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, (3, 1))
+    want = sorted(i for i in range(12) if crc(i, 3) != 1)
+    assert sorted(ws[-1] for _, _, ws in rows) == sorted([b"last"] * sum(i > 0 for i in want) + [b"again"] * (0 in want))
+    assert all(len(ws) == 9001 for _, _, ws in rows if ws != [b"again"])
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 60_000)
+    few = toxicity.training_rows(docs, labels, (3, 1))
+    assert {t for _, t, _ in few} == {True, False} and all(sum(t == k and len(ws) > 1 for _, t, ws in few) == 1 for k in (True, False))
 
 
 def test_language_on_held_out_documents(spark, small):
@@ -97,7 +109,7 @@ def test_toxic_words_save_bytes_under_their_dictionary():
     word = lambda: "".join(rng.choice(syllables, int(rng.integers(2, 5))))
     plain = [" ".join(word() for _ in range(80)) for _ in range(200)]
     toxic = [" ".join(w if k % 9 else str(rng.choice(["idiotic", "wretched", "loathsome"])) for k, w in enumerate(t.split())) for t in plain[:80]]
-    o, t = toxicity.train_dictionaries(toxic, plain[80:])
+    o, t = toxicity.train_dictionaries(*([toxicity.windows(x) for x in side] for side in (toxic, plain[80:])))
     g = toxicity.Gains(o, t)
     high = lambda ws: g(ws)[toxicity.GAINS + 3 :].sum() / len(ws)
     assert high([b"idiotic", b"wretched", b"loathsome"]) == 1
