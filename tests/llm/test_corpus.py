@@ -77,12 +77,21 @@ def test_raking_against_plain_sweeps():
             assert sum(w[i] * tokens[i] for i, c in enumerate(cells) if c[m] == k) / tokens.sum() == pytest.approx(share, abs=1e-8)
 
 
-def test_probabilities_meet_the_budget():
+def test_expected_shares_meet_every_margin_with_cells_at_one():
     rng = np.random.default_rng(0)
-    w, t = rng.random(50) * 3, rng.integers(1, 1000, 50).astype(float)
-    p = mixing.probabilities(w, t, 0.6)
-    assert (p <= 1).all() and (p * t).sum() == pytest.approx(0.6 * t.sum())
-    assert (mixing.probabilities(np.ones(3), np.ones(3), 1.0) == 1).all()
+    cells = [(s, lang, t) for s in "abcd" for lang in ("en", "de", "fr") for t in "xy"]
+    t = rng.integers(1, 1000, len(cells)).astype(float)
+    targets = mixing.tempered(cells, t, 0.5)
+    for keep in (0.3, 0.8, 1.0):
+        w, p, share = mixing.probabilities(cells, t, targets, keep)
+        assert (p >= 0).all() and (p <= 1).all() and (p * t).sum() == pytest.approx(share * t.sum(), rel=2e-4) and share <= keep
+        for m, target in enumerate(targets):
+            for k, v in target.items():
+                got = sum(p[i] * t[i] for i, c in enumerate(cells) if c[m] == k) / (p * t).sum()
+                assert got == pytest.approx(v / sum(target.values()), abs=1e-3)
+    assert share < 1 and (p > 0.999).any()  # the last one had to hold cells at 1 and keep less
+    even = [(x,) * 3 for x in "ab"]
+    assert np.allclose(mixing.probabilities(even, np.array([4.0, 4.0]), mixing.tempered(even, np.array([4.0, 4.0])), 0.5)[1], 0.5)
 
 
 def test_mixture_of_documents(spark, small):
@@ -91,10 +100,15 @@ def test_mixture_of_documents(spark, small):
     assert len(p) == len(d)
     n = p.set_index("doc_id").n_tokens
     assert all(n[i] == len(t.encode().split()) for i, t in zip(d.doc_id, d.text))
-    assert abs((p.n_tokens * p.sampled).sum() / p.n_tokens.sum() - mixing.KEEP) < 0.05
-    tempered = p.groupby("source").n_tokens.sum() ** mixing.TEMPER
-    got = (p.weight * p.n_tokens).groupby(p.source).sum()
-    assert np.allclose(got / got.sum(), tempered / tempered.sum(), atol=1e-6)
+    assert (p.topic == np.where(p.n_tokens < 200, "note", np.where(p.n_tokens < 1000, "article", "chapter"))).all()
+    assert p.groupby(["source", "lang", "topic"])[["weight", "probability"]].nunique().eq(1).all().all()
+    expected, seen = (p.probability * p.n_tokens), (p.sampled * p.n_tokens)
+    assert abs(expected.sum() - seen.sum()) < 0.05 * p.n_tokens.sum()
+    for column in ("source", "lang", "topic"):
+        target = p.groupby(column).n_tokens.sum() ** mixing.TEMPER
+        weighted = (p.weight * p.n_tokens).groupby(p[column]).sum()
+        assert np.allclose(weighted / weighted.sum(), target / target.sum(), atol=1e-6)
+        assert np.allclose(expected.groupby(p[column]).sum() / expected.sum(), target / target.sum(), atol=1e-3)
 
 
 def test_mixture_of_odd_rows(odd, none):
