@@ -162,6 +162,31 @@ def test_class_model_sums_to_one():
     assert np.allclose([(step[a, cls] * emit).sum() + step[a] @ unknown for a in range(4)], 1)
 
 
+def test_exchange_against_plain_trials():
+    """Every move is the one that a plain count of the likelihood finds best."""
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(0, 30, (24, 24)) * (rng.random((24, 24)) < 0.4).astype(float)
+
+    def value(cls, k):
+        one = np.eye(k)[cls]
+        t = one.T @ pairs @ one
+        return sum((x[x > 0] * np.log(x[x > 0])).sum() * sign for x, sign in ((t, 1), (t.sum(axis=0), -1), (t.sum(axis=1), -1)))
+
+    for k in (2, 5):
+        order = np.argsort(-(pairs.sum(axis=0) + pairs.sum(axis=1)), kind="stable")
+        cls = np.empty(24, int)
+        cls[order] = np.arange(24) % k
+        for _ in range(12):
+            before = cls.copy()
+            for i in order:
+                tries = [value(np.where(np.arange(24) == i, b, cls), k) for b in range(k)]
+                if max(tries) > tries[cls[i]] + 1e-7:
+                    cls[i] = int(np.argmax(tries))
+            if (cls == before).all():
+                break
+        assert lm.exchange(pairs, k, 12).tolist() == cls.tolist()
+
+
 def test_exchange_finds_planted_classes():
     n = np.zeros((20, 20))
     for i in range(20):
