@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, langid, lm, mixing, packing, quality, sharding, simhash, topk, toxicity
-from ._util import checkpoint, table
+from ._util import table
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = checkpoint(topk.quantise(table(spark, sf_dir, "embeddings")))
+    vectors = topk.numbered(topk.quantise(table(spark, sf_dir, "embeddings")))
     return topk.exact_topk(vectors.where("vec_id % 20 = 0"), vectors, 20)
 
 
@@ -55,16 +55,15 @@ QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_quality, op3_simhash, op4
 ORACLE_SQL = {
     "op1_exact_topk": """
 WITH good AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-one AS (SELECT vec_id, min(v) AS v FROM good GROUP BY vec_id),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.r AS query_row, q.vec_id AS query_id, c.vec_id AS vec_id,
          list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM one q JOIN one c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+  FROM good q JOIN good c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank FROM pairs)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """,
 }
