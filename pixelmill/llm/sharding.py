@@ -59,7 +59,7 @@ def rebalance(current: list[int], slot_bytes: dict[int, int], shards: int) -> li
 
 
 def map_table(spark: SparkSession, versions: dict[int, list[int]]) -> DataFrame:
-    """(version, virtual_slot, shard): at most SLOTS rows a version; write it beside the shards to store it."""
+    """(version, virtual_slot, shard): at most SLOTS rows a version."""
     parts = []
     for version, m in versions.items():
         arr = F.array(*[F.lit(int(s)) for s in m]) if len(m) <= 64 else F.from_json(F.lit(str(list(m))), "array<int>")
@@ -70,20 +70,43 @@ def map_table(spark: SparkSession, versions: dict[int, list[int]]) -> DataFrame:
     return out
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def store_map(spark: SparkSession, path: str, version: int, m: list[int]) -> None:
+    """Write one version of the map under ``path``, a folder of the shared store; a version that exists is an error."""
+    map_table(spark, {version: m}).drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
+
+
+def read_maps(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The stored versions of the map, SLOTS entries each."""
+    out: dict[int, dict[int, int]] = {}
+    for r in spark.read.parquet(path).select("version", "virtual_slot", "shard").collect():
+        out.setdefault(r["version"], {})[r["virtual_slot"]] = r["shard"]
+    return {v: [m[s] for s in range(len(m))] for v, m in sorted(out.items())}
+
+
+def store_rebalanced(spark: SparkSession, path: str, docs: DataFrame, shards: int) -> int:
+    """Edit the newest stored map by the bytes that ``docs`` have in each slot and store it as the next version, whose
+    number is returned."""
+    maps = read_maps(spark, path)
+    version, slots = max(maps), len(maps[max(maps)])
+    load = {r["virtual_slot"]: r["bytes"] for r in slot_bytes(counted(docs, slots)).collect()}  # a row a slot
+    store_map(spark, path, version + 1, rebalance(maps[version], load, shards))
+    return version + 1
+
+
+def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot): size is the text's UTF-8 bytes plus 1; a null text has size 1, crc 0."""
     b = F.col("text").cast("binary")
     return docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.coalesce(F.crc32(b), F.lit(0)).cast("long").alias("text_crc32"),
-        slot_of(F.col("doc_id")).alias("virtual_slot"),
+        slot_of(F.col("doc_id"), slots).alias("virtual_slot"),
     )
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """sized() rows, equal ones counted as ``n``."""
-    return sized(docs).groupBy("doc_id", "size", "text_crc32", "virtual_slot").agg(F.count(F.lit(1)).alias("n"))
+    return sized(docs, slots).groupBy("doc_id", "size", "text_crc32", "virtual_slot").agg(F.count(F.lit(1)).alias("n"))
 
 
 def slot_bytes(counted_rows: DataFrame) -> DataFrame:
@@ -91,16 +114,20 @@ def slot_bytes(counted_rows: DataFrame) -> DataFrame:
     return counted_rows.groupBy("virtual_slot").agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("size")).alias("bytes"))
 
 
-def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, path: str | None = None, versions: tuple[int, int] = (1, 2)) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with its shard under the `key` law, as opN's contract lists the columns.
 
-    ``slot`` counts a shard's rows from 0 without gaps, in order of virtual slot and id; ``grown_shard`` is the shard
-    under the map's next version, which has one shard more. Equal rows are counted before they are dealt, so an id
-    that repeats without bound stays one row until it is spread in chunks. Empty input gives no rows.
+    ``path`` holds a stored map (store_map()), of which ``versions`` name the one in use and the one with a shard more;
+    without it the two that the shard count alone decides are taken. ``slot`` counts a shard's rows from 0 without
+    gaps, in order of virtual slot and id; ``grown_shard`` is the shard under the second version. Null ids share slot
+    0; null texts have size 1 and crc 0; very long texts only count their bytes. Equal rows are counted before they are
+    dealt, so an id that repeats without bound stays one row until it is spread in chunks; ties do not arise, for equal
+    rows are one. Columns of other names are not read. Empty input gives no rows.
     """
     spark = docs.sparkSession
     rows = counted(docs)
-    maps = map_table(spark, {1: plan_slots(shards), 2: plan_slots(shards + 1)})
+    stored = read_maps(spark, path) if path else {versions[0]: plan_slots(shards), versions[1]: plan_slots(shards + 1)}
+    maps = map_table(spark, {1: stored[versions[0]], 2: stored[versions[1]]})
     maps = maps.groupBy("virtual_slot").agg(F.max(F.when(F.col("version") == 1, F.col("shard"))).alias("shard"), F.max(F.when(F.col("version") == 2, F.col("shard"))).alias("grown_shard"))
     used = F.broadcast(maps.join(F.broadcast(slot_bytes(rows)), "virtual_slot", "left"))  # SLOTS rows
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,5 +146,5 @@ def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
         "grown_shard",
         "virtual_slot",
         F.col("bytes").alias("slot_bytes"),
-        F.lit(1).alias("map_version"),
+        F.lit(versions[0]).alias("map_version"),
     )
