@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from . import _util as U
 
-#: Words of a seed; items of fewer words than LEAST prove nothing. A copy with a fifth of its words changed may keep no
-#: run of five, but always keeps one of three, so seeds are shorter than five words; the alignment decides at 0.8.
+#: Words of a seed; items of fewer words than LEAST are found as they stand, without edits, and those of fewer words
+#: than SEED only where they are the whole text. A copy with a fifth of its words changed may keep no run of five, but
+#: always keeps one of three, so seeds are shorter than five words; the alignment decides at 0.8.
 SEED, LEAST, SIMILAR = 3, 8, 0.8
 #: A seed is rare if its words' rates make it less likely than this a position; if that leaves an item with less than
 #: this share of its seeds, its least likely ones are used. Words of slack around a match.
@@ -65,15 +66,19 @@ class Matcher:
         self.items = {}
         self.number: dict[str, int] = {}
         self.seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.alone: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for k, (item_id, text) in enumerate(items):
             ws = words_of(text)
-            if len(ws) < LEAST:
+            if len(ws) < SEED:
+                if ws:
+                    self.alone[tuple(ws)].append(item_id)
                 continue
             x = np.array([self.number.setdefault(w, len(self.number)) for w in ws], np.int64)
             self.items[k] = (item_id, x)
             chance = np.array([np.prod([rates.get(w, 0.0) for w in ws[i : i + SEED]]) for i in range(len(ws) - SEED + 1)])
             order = np.argsort(chance, kind="stable")
-            used = max(int((chance <= RARE).sum()), int(np.ceil(SHARE * len(chance))))
+            # one seed finds an item that must stand as it is
+            used = max(int((chance <= RARE).sum()), int(np.ceil(SHARE * len(chance)))) if len(ws) >= LEAST else 1
             for i in order[:used].tolist():
                 self.seeds[self._code(x[i : i + SEED])].append((k, i))
         self.codes = np.array(sorted(self.seeds), np.int64)
@@ -94,7 +99,7 @@ class Matcher:
         """(item_id, similarity, first word, end word) of every item found, best place of each."""
         ws = words_of(text)
         if len(ws) < SEED:
-            return []
+            return sorted((item_id, 1.0, 0, len(ws)) for item_id in self.alone.get(tuple(ws), ()))
         get = self.number.get
         x = np.array([get(w, -1) for w in ws], np.int64)
         n = len(x) - SEED + 1
@@ -112,6 +117,11 @@ class Matcher:
         for k, starts in hits.items():
             item_id, item = self.items[k]
             m, best = len(item), None
+            if m < LEAST:
+                whole = next((s for s in sorted(starts) if 0 <= s <= len(x) - m and (x[s : s + m] == item).all()), None)
+                if whole is not None:
+                    out.append((item_id, 1.0, whole, whole + m))
+                continue
             slack = SLACK + m // 4
             done = -1
             for s in sorted(set(starts)):
@@ -195,7 +205,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, similarity, start, end): every document of ``docs`` (doc_id, text) with every benchmark item
     (item_id, text) of which it holds a copy with SIMILAR of the item's words aligned; start and end count words.
 
-    Repeated rows are each reported; null and empty texts hold nothing; without a benchmark there are no rows.
+    Items under LEAST words must stand as they are, those under SEED words as the whole text. Repeated rows are each
+    reported; null and empty texts hold nothing; very long texts are searched whole; of equally good places of an item
+    the first is given; repeated items count once; other columns are not read; an empty table or benchmark gives no rows.
     """
     parts = [docs.select("doc_id", F.explode(f("text")).alias("x")) for f in leaks_column(docs, benchmark)]
     if not parts:

@@ -164,6 +164,16 @@ def test_exact_edited_and_partial_copies(spark):
     assert decontaminate.find_leaks(docs, bench.where("false")).count() == 0 == decontaminate.find_leaks(docs.where("false"), bench).count()
 
 
+def test_short_items_are_found_as_they_stand(spark):
+    short = ["one two", "red green blue", "a b c d e", "p q r s t u v", "k l m n o p q r"]
+    bench = spark.createDataFrame(list(enumerate(short)), "item_id long, text string")
+    texts = ["x one two y", "One, two!", "x red green y blue red green blue", "a b c d x e a b c d E.", "p q r s t u w", "p q r s t u v", "z k l m n o p q x", "word " * 60000 + "a b c d e", None]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, item_id int")
+    got = sorted((r["doc_id"], r["item_id"], r["start"], r["end"]) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert got == [(1, 0, 0, 2), (2, 1, 5, 8), (3, 2, 6, 11), (5, 3, 0, 7), (6, 4, 1, 8), (7, 2, 60000, 60005)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [0, 4, 8]
+
+
 def test_blocks_of_a_benchmark(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 50)
     docs, bench = planted(spark)
