@@ -39,24 +39,25 @@ class Encoder:
     """Token ids of a text by byte-level BPE. Texts are cut where white space follows a character that is none,
     which the pattern never crosses, and the ids of frequent chunks are kept."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple, Encoder] = {}
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, cache: int | None = None):
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.cache = cache or CACHE
         self.kept: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint16)
-        self.ends = np.zeros(CACHE + 1, np.int64)
+        self.ends = np.zeros(self.cache + 1, np.int64)
         self.twice = re.compile(r"\s\s|\s$")
 
     @classmethod
-    def of(cls, vocabulary: str) -> Encoder:
-        if vocabulary not in cls._made:
-            cls._made[vocabulary] = cls(vocabulary)
-        return cls._made[vocabulary]
+    def of(cls, vocabulary: str, cache: int | None = None) -> Encoder:
+        if (vocabulary, cache) not in cls._made:
+            cls._made[vocabulary, cache] = cls(vocabulary, cache)
+        return cls._made[vocabulary, cache]
 
     def _keep(self, chunk: str) -> int:
         ids, n = self.bpe.encode_ordinary(" " + chunk), len(self.kept)
@@ -72,9 +73,9 @@ class Encoder:
         if len(text) < 64 or self.twice.search(text):
             return np.asarray(self.bpe.encode_ordinary(text), np.uint16)
         first, *rest = text.split(" ")
-        if len(self.kept) + len(rest) > CACHE:
+        if len(self.kept) + len(rest) > self.cache:
             self.kept.clear()
-            if len(rest) > CACHE // 2:
+            if len(rest) > self.cache // 2:
                 return np.asarray(self.bpe.encode_ordinary(text), np.uint16)
         at = list(map(self.kept.get, rest))
         if None in at:
@@ -140,21 +141,23 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, cache: int | None = None) -> DataFrame:
     """Packed rows of all of ``docs`` (doc_id, text); see SCHEMA.
 
     ``ids`` holds ``length`` little-endian uint16 ids, padded with PAD after ``n_tokens``; ``cu_seqlens`` runs from 0
     through the end of each segment; ``position_resets`` holds the places where positions start again at 0; the other
     lists give each segment's document, the segment's offset in it and the document's number of ids. A document
     without ids (null or empty text) is a segment of no ids, so every row of the input appears. Null ids stay null
-    and repeated rows are packed each. Tasks pack what they read, in groups of bounded size, so nothing is shuffled.
+    and repeated rows are packed each; ties in size go by order of reading; other columns are not read; an empty table
+    gives no rows. ``cache`` bounds the chunks that a worker keeps with their ids (CACHE if None) and changes no result.
+    Tasks pack what they read, in groups of bounded size, so nothing is shuffled.
     """
     U.small_batches(docs)
 
     def packed(batches):
         from pyspark import TaskContext
 
-        encode, made, base = Encoder.of(vocabulary), 0, TaskContext.get().partitionId() << 33
+        encode, made, base = Encoder.of(vocabulary, cache), 0, TaskContext.get().partitionId() << 33
         held: list[tuple] = []
         total = 0
 
