@@ -42,7 +42,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> None:
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more. It does so when the driver's
+    collector finds their handles, which a job of many short rounds with little garbage may put off until disks fill."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(df: DataFrame, rows: int = 256) -> None:
     """Hold the session's Arrow batches to ``rows`` rows: texts are long, and a Python worker has a whole batch in memory.
     A smaller setting stays."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -113,6 +119,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(moved.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        release(e.sparkSession)
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
