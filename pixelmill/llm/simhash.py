@@ -18,8 +18,9 @@ SHINGLE, SEED, RADIUS, HEX = 3, 42, 2, 16
 #: Pivots: the zero fingerprint, one for each block of two neighbouring bits, and some at random.
 BLOCKS, BANDS, RANDOM_PIVOTS = 32, 6, 24
 #: For a similarity: words of a shingle, bands of MinHash values and values of a band (a pair at 0.8 shares no band with
-#: probability 3e-6), members up to which a band's pairs are listed, and bits of the mask that thins out texts.
-WORDS, MIN_BANDS, MIN_ROWS, LISTED, MASK = 5, 24, 4, 16, 2**22 - 1
+#: probability 3e-6), members up to which a band's pairs are listed, members of a larger band that all others of it are
+#: compared with, and bits of the mask that thins out texts.
+WORDS, MIN_BANDS, MIN_ROWS, LISTED, HUBS, MASK = 5, 24, 4, 16, 4, 2**22 - 1
 BUCKET = 128  # larger buckets of distinct fingerprints go the exact way of linked_through_neighbours()
 PIVOTS = np.concatenate(
     [
@@ -178,24 +179,109 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+@F.pandas_udf(T.DoubleType())
+def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([jaccard(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def shared_by_block(hashes: pd.Series, own: pd.Series) -> pd.Series:
+    """Number of hashes that are not ``own`` in each of 64 blocks of hashes."""
+    count = lambda x: np.bincount(np.asarray(x, np.int64) & 63, minlength=64).astype(np.int32)
+    return pd.Series([count(h) - count(o) for h, o in zip(hashes, own, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("mask", T.IntegerType()).add("root", T.IntegerType()).add("top", T.IntegerType())))
+def joined_hubs(masks: pd.Series) -> pd.Series:
+    """For the sets of hubs (as bits) that a band's members are linked to, with their numbers: the component of each set,
+    0 for none, and the component of most members."""
+    out = []
+    for band in masks:
+        sets, at = [x["mask"] for x in band], {}
+        for m in sets:
+            part, before = m, -1
+            while part != before:
+                before = part
+                for x in sets:
+                    if x & part:
+                        part |= x
+            at[m] = part
+        many: dict[int, int] = {}
+        for x in band:
+            many[at[x["mask"]]] = many.get(at[x["mask"]], 0) + x["m"]
+        top = max(many, key=lambda r: (many[r], r))
+        out.append([{"mask": m, "root": at[m], "top": top} for m in sets])
+    return pd.Series(out, dtype=object)
+
+
+def crowd_links(crowd: DataFrame, sets: DataFrame, compared, similarity: float) -> DataFrame:
+    """Links that connect the members (key, tid) of each crowded band that chains of similar pairs within the band
+    connect; ``sets``: (tid, hashes); ``compared``: (u, v) -> (u, v, s), each pair's similarity.
+
+    The HUBS members that most others meet in bands are compared with all members, and their similarities are a pivot
+    table: Jaccard distance is a metric, so two members whose distances to some hub differ by more than a linked pair's
+    distance are no link. Members that hubs connect need no comparison with each other; those outside the component
+    that holds most of a band are joined with all members that the table leaves and that can have enough shingles in
+    common: shingles that no other member has do not count, and of each block of hashes two texts share the lesser
+    number at most. Nothing is collected; in a crowd of copies of one text nearly all pairs are linked through a hub or ruled out by their edits.
+    """
+    weight = crowd.groupBy("tid").agg(F.sum("n").alias("w"))
+    order = Window.partitionBy("key").orderBy(F.desc("w"), "tid")
+    hubs = crowd.join(weight, "tid").withColumn("k", F.row_number().over(order)).where(F.col("k") <= HUBS)
+    hubs = U.checkpoint(hubs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", F.col("tid").alias("hub")))).alias("hubs")))  # HUBS a band
+    met = crowd.join(hubs, "key").select("key", "tid", F.explode("hubs").alias("x")).select("key", "tid", "x.k", "x.hub")
+    met = U.checkpoint(met.select("key", "tid", "k", F.least("tid", "hub").alias("u"), F.greatest("tid", "hub").alias("v")))
+    known = U.checkpoint(compared(met.where("u <> v").select("u", "v").distinct()))
+    U.release(crowd.sparkSession)
+    linked = known.where(F.col("s") >= similarity).select("u", "v")
+    ends = met.join(known, ["u", "v"], "left").withColumn("s", F.when(F.col("u") == F.col("v"), 1.0).otherwise(F.col("s")))
+    table = ends.groupBy("key", "tid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("d"),
+        F.sum(F.when(F.col("s") >= similarity, F.expr("shiftleft(1, k - 1)")).otherwise(0)).cast("int").alias("mask"),
+    )
+    table = U.checkpoint(table)
+    # members linked to hubs that are linked to each other, if through another member, are of one component
+    masks = table.groupBy("key", "mask").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.collect_list(F.struct("mask", "m")).alias("masks"))
+    parts = masks.select("key", joined_hubs("masks").alias("p")).where(F.size("p") > 1).select("key", F.explode("p").alias("p"))
+    parts = parts.select("key", F.col("p.mask").alias("mask"), F.col("p.root").alias("root"), F.col("p.top").alias("top"))  # 2 ** HUBS rows a band
+    table = U.checkpoint(table.join(parts, ["key", "mask"]))
+    held = sets.join(table.select("tid").distinct(), "tid", "left_semi")
+    own = held.select("tid", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("tid").alias("tid"), F.count(F.lit(1)).alias("c")).where("c = 1")
+    size = held.join(own.groupBy("tid").agg(F.collect_list("h").alias("own")), "tid", "left")
+    size = size.select("tid", F.size("hashes").alias("n"), shared_by_block("hashes", F.coalesce("own", F.array().cast("array<long>"))).alias("c"))
+    # with i common shingles at most, a pair has similarity i / (n + n' - i) at most; members of a band have like sizes
+    table = table.join(size, "tid").withColumn("common", F.aggregate("c", F.lit(0), lambda t, e: t + e))
+    least = table.groupBy("key").agg(F.min("n").alias("least"))
+    table = U.checkpoint(table.join(least, "key").where(F.col("common") * (1 + similarity) >= similarity * (F.col("n") + F.col("least")) - 1e-6))
+    x, y = table.where("root <> top OR root = 0").alias("x"), table.alias("y")  # root 0: linked to no hub
+    far = F.exists(F.zip_with("x.d", "y.d", lambda a, b: F.abs(a - b)), lambda e: e > 1 - similarity + 1e-9)
+    once = ((F.col("y.root") == F.col("y.top")) & (F.col("y.root") != 0)) | (F.col("x.tid") < F.col("y.tid"))
+    need = similarity * (F.col("x.n") + F.col("y.n")) / (1 + similarity) - 1e-6
+    enough = (F.least("x.common", "y.common") >= need) & (F.aggregate(F.zip_with("x.c", "y.c", lambda a, b: F.least(a, b)), F.lit(0), lambda t, e: t + e) >= need)
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & ((F.col("x.root") != F.col("y.root")) | (F.col("x.root") == 0)) & (F.col("x.tid") != F.col("y.tid")) & once & ~far & enough)
+    rest = rest.select(F.least("x.tid", "y.tid").alias("u"), F.greatest("x.tid", "y.tid").alias("v")).distinct()
+    return linked.union(compared(U.checkpoint(rest)).where(F.col("s") >= similarity).select("u", "v"))
+
+
 def similar_texts(docs: DataFrame, keys: DataFrame, similarity: float) -> DataFrame:
     """Edges (u, v) between text keys that connect the texts of ``docs`` (text) whose shingle sets have ``similarity``
     and share a band; ``keys``: (key, tid) for each band of each text.
 
-    Pairs of small bands are listed and verified; a larger band is verified by one task, where a text is compared with
-    the members of each group found so far until one is similar, so that a crowd of copies takes linear time.
+    Pairs of bands of LISTED members at most are listed and verified; larger bands go to crowd_links().
     """
     spark = docs.sparkSession
-    shared = U.checkpoint(keys.groupBy("key").agg(F.collect_set("tid").alias("tids")).where(F.size("tids") > 1))
+    keys = keys.distinct()
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = U.checkpoint(keys.join(sizes, "key"))
 
     @F.pandas_udf("array<struct<u:long,v:long>>")
     def listed(lists: pd.Series) -> pd.Series:
         return pd.Series([[{"u": a, "v": b} for a, b in combinations(sorted(map(int, x)), 2)] for x in lists], dtype=object)
 
-    pairs = shared.where(F.size("tids") <= LISTED).select(F.explode(listed("tids")).alias("e")).select("e.u", "e.v").distinct()
-    pairs = U.checkpoint(pairs)
-    crowd = shared.where(F.size("tids") > LISTED).select("key", F.explode("tids").alias("tid"))
-    wanted = U.checkpoint(shared.select(F.explode("tids").alias("tid")).distinct())
+    small = shared.where(F.col("n") <= LISTED).groupBy("key").agg(F.collect_list("tid").alias("tids"))
+    pairs = U.checkpoint(small.select(F.explode(listed("tids")).alias("e")).select("e.u", "e.v").distinct())
+    crowd = shared.where(F.col("n") > LISTED)
+    wanted = U.checkpoint(shared.select("tid").distinct())
     bits = np.zeros(MASK + 1, bool)
     bits[wanted.select(F.col("tid").bitwiseAND(F.lit(MASK)).cast("int").alias("b")).distinct().toPandas().b.to_numpy(dtype=np.int64)] = True
     handle = spark.sparkContext.broadcast(np.packbits(bits))
@@ -206,33 +292,19 @@ def similar_texts(docs: DataFrame, keys: DataFrame, similarity: float) -> DataFr
             text = [t for t in pdf.text if t]
             at = {k: t for k, t in zip(map(text_key, text), text, strict=True) if mask[k & MASK] and k not in seen}
             seen.update(at)
-            yield pd.DataFrame({"tid": list(at), "hashes": [shingle_set(t).view(np.int64) for t in at.values()]})
+            held = [shingle_set(t).view(np.int64) for t in at.values()]
+            yield pd.DataFrame({"tid": pd.Series(list(at), dtype="int64"), "hashes": pd.Series(held, dtype=object)})
 
     sets = docs.select("text").mapInPandas(picked, "tid long, hashes array<long>").join(wanted, "tid", "left_semi")
     sets = U.checkpoint(sets.dropDuplicates(["tid"]))
+    U.release(spark)
+    a, b = (sets.select(F.col("tid").alias(n), F.col("hashes").alias(f"h{n}")) for n in "uv")
 
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(np.asarray(x), np.asarray(y)) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[int]] = []
-        out, tid, held = [], pdf.tid.tolist(), [np.asarray(x) for x in pdf.hashes]
-        for i in range(len(tid)):
-            near, rest = [i], []
-            for g in groups:
-                j = next((j for j in g if jaccard(held[i], held[j]) >= similarity), None)
-                if j is None:
-                    rest.append(g)
-                else:
-                    out.append((tid[j], tid[i]))
-                    near = g + near
-            groups = [near, *rest]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    def compared(some: DataFrame) -> DataFrame:
+        return some.join(a, "u").join(b, "v").select("u", "v", alike("hu", "hv").alias("s"))
 
-    a, b = (sets.select(F.col("tid").alias(n), F.col("hashes").alias(f"h{n}")) for n in "uv")
-    few = pairs.join(a, "u").join(b, "v").where(alike("hu", "hv") >= similarity).select("u", "v")
-    return few.union(crowd.join(sets, "tid").groupBy("key").applyInPandas(grouped, "u long, v long"))
+    few = U.checkpoint(compared(pairs).where(F.col("s") >= similarity).select("u", "v"))
+    return few if crowd.isEmpty() else few.union(crowd_links(crowd, sets, compared, similarity))
 
 
 @F.pandas_udf(T.StructType().add("tid", T.LongType()).add("keys", T.ArrayType(T.LongType())))
@@ -244,6 +316,7 @@ def similar_links(docs: DataFrame, similarity: float) -> DataFrame:
     """Edges (u, v) between the fingerprints of similar_texts()."""
     texts = U.checkpoint(docs.select(fingerprint_of("text").alias("fp"), bands_of("text").alias("b")).select("fp", "b.tid", "b.keys"))
     found = U.checkpoint(similar_texts(docs, texts.select(F.explode("keys").alias("key"), "tid"), similarity).distinct())
+    U.release(docs.sparkSession)
     fps = texts.select("tid", "fp").distinct()
     ends = found.join(fps.toDF("u", "fu"), "u").join(fps.toDF("v", "fv"), "v")
     return ends.where("fu <> fv").select(F.col("fu").alias("u"), F.col("fv").alias("v")).distinct()

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import zlib
 
@@ -28,16 +29,23 @@ def test_top_k_leaves_out_bad_vectors_and_breaks_ties(spark, monkeypatch):
     monkeypatch.setattr(topk, "FAN_IN", 2)
     rows = [(i, [0.5, 0.25]) for i in range(0, 45)] + [(100, None), (101, [1.0, None]), (102, [float("nan"), 1.0]), (103, [float("inf"), 1.0]), (None, [1.0, 1.0]), (0, [0.5, 0.25]), (60, [3e38, 3e38]), (61, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    v = topk.quantise(df)
+    v = topk.numbered(topk.quantise(df.selectExpr("*", "1 AS score", "2 AS rank", "'x' AS v")))
     got = topk.exact_topk(v.where("vec_id % 20 = 0"), v, 20).toPandas()
+    assert len(got[got.query_id == 0]) == 40 and len(got[got.query_id == 20]) == 20
     one = got[got.query_id == 20].sort_values("rank")
-    assert one.vec_id.tolist() == [60] + [i for i in range(20) if i != 20][:19]
+    assert one.vec_id.tolist() == [60, 0, 0] + list(range(1, 18))
     assert one.score.iloc[0] == 2**63 - 1 and one.score.iloc[1] == 32 * 32 + 16 * 16
     assert len(got[got.query_id == 60]) == 20
     few = topk.exact_topk(v.where("vec_id = 20"), v.where("vec_id in (1, 2, 20)"), 20)
     assert few.count() == 2 and topk.exact_topk(v.where("false"), v, 20).count() == 0 == topk.exact_topk(v, v.where("false"), 20).count()
 
 
+def test_every_row_of_a_repeated_id_is_ranked(spark):
+    v = topk.numbered(topk.quantise(spark.createDataFrame([(1, [0.5]), (1, [0.9]), (20, [1.0])], "vec_id long, embedding array<float>")))
+    got = [tuple(r) for r in topk.exact_topk(v.where("vec_id % 20 = 0"), v).orderBy("rank").collect()]
+    assert got == [(20, 1, 1, 57 * 64), (20, 2, 1, 32 * 64)]
+
+
 def plain_fingerprint(t):
     w = (t or "").encode().lower().split()
     sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else ([b" ".join(w)] if w else [])
@@ -144,6 +152,40 @@ def test_shards_of_odd_rows(odd, none):
     assert sharding.assign(none).count() == 0
 
 
+def plain_slot(doc_id):
+    return 0 if doc_id is None else int(hashlib.md5(str(doc_id).encode()).hexdigest()[:8], 16) % sharding.SLOTS
+
+
+def test_shards_against_a_plain_count(spark, small):
+    """Every column of the query over the whole table, by the definition."""
+    got = queries.op4_shards(spark, small).toPandas()
+    docs = spark.read.parquet(f"{small}/documents.parquet").toPandas()
+    one, two = sharding.plan_slots(8), sharding.plan_slots(9)
+    load = {}
+    rows = []
+    for d, t in zip(docs.doc_id, docs.text):
+        size, s = len((t or "").encode()) + 1, plain_slot(d)
+        load[s] = load.get(s, 0) + size
+        rows.append([d, size, zlib.crc32((t or "").encode()), s])
+    want, at = set(), [0] * 8
+    for d, size, crc, s in sorted(rows, key=lambda r: (r[3], r[0], r[2], r[1])):
+        want.add((d, size, crc, "key", one[s], at[one[s]], two[s], s, load[s], 1))
+        at[one[s]] += 1
+    assert {tuple(r) for r in got.itertuples(index=False)} == want and len(got) == len(want)
+
+
+def test_stored_maps_are_edited_by_slot_bytes(spark, small, tmp_path):
+    docs, path = spark.read.parquet(f"{small}/documents.parquet"), str(tmp_path / "map")
+    sharding.store_map(spark, path, 1, sharding.plan_slots(8))
+    assert sharding.store_rebalanced(spark, path, docs, 8) == 2
+    maps = sharding.read_maps(spark, path)
+    assert maps[1] == sharding.plan_slots(8) and maps[2] != maps[1]
+    got = sharding.assign(docs, 8, path, (2, 1)).groupBy("shard").sum("size").toPandas()["sum(size)"]
+    before = sharding.assign(docs).groupBy("shard").sum("size").toPandas()["sum(size)"]
+    assert got.max() - got.min() < before.max() - before.min()
+    assert sharding.assign(docs, 8, path, (1, 2)).drop("grown_shard", "map_version").exceptAll(sharding.assign(docs).drop("grown_shard", "map_version")).count() == 0
+
+
 def test_slot_maps_are_even_and_move_only_to_the_new_shard():
     for n in range(1, 40):
         a, b = sharding.plan_slots(n), sharding.plan_slots(n + 1)
@@ -194,3 +236,37 @@ def test_repeated_ids_with_different_texts_lose_no_component(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for similarity in (None, 0.8):
         assert sorted(tuple(r) for r in simhash.one_of_each(df, similarity).collect()) == [(3, a), (5, b), (9, d), (9, c)]
+
+
+def test_crowds_of_copies_are_linked_like_all_pairs(spark, monkeypatch):
+    """Copies of one text at many distances, two hubs only: components equal those of all pairs within a band."""
+    monkeypatch.setattr(simhash, "LISTED", 3)
+    monkeypatch.setattr(simhash, "HUBS", 2)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**62, 400)
+    sets = {}
+    for i in range(60):
+        x = base.copy()
+        at = rng.choice(400, int(rng.integers(0, 90)), replace=False)
+        x[at] = rng.integers(0, 2**62, len(at))
+        sets[i] = np.unique(x)
+    crowd = spark.createDataFrame([(k, i, 60 if k else 30) for k in (0, 1) for i in range(60) if k or i % 2], "key long, tid long, n long")
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in sets.items()], "t long, h array<long>")
+    a, b = (d.select(d.t.alias(n), d.h.alias("h" + n)) for n in "uv")
+    asked = []
+
+    def compared(some):
+        asked.append(some.count())
+        return some.join(a, "u").join(b, "v").select("u", "v", simhash.alike("hu", "hv").alias("s"))
+
+    edges = simhash.crowd_links(crowd, d.toDF("tid", "hashes"), compared, 0.8)
+    got = {r["node"]: r["root"] for r in U.connected_components(edges).collect()}
+    up = {i: {i} for i in sets}
+    for i in sets:
+        for j in range(i):
+            if simhash.jaccard(sets[i], sets[j]) >= 0.8 and up[i] is not up[j]:
+                up[i] |= up[j]
+                for k in up[j]:
+                    up[k] = up[i]
+    assert all(got.get(i, i) == min(up[i]) for i in sets) and len({id(x) for x in up.values()}) > 1
+    assert asked[0] < 60 * 3 and asked[1] < 60 * 59 // 4
