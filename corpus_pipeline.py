@@ -1,17 +1,18 @@
 """A training corpus from ``documents``: five stages, each calling one operator of pixelmill.llm.
 
-Each stage is a function (spark, docs, sf_dir) -> DataFrame whose result is written as Parquet and read again as the
+Nulls, empty and very long texts, repeated rows and clashing columns are handled as the operators' docstrings say; an
+empty table gives no rows at every stage. Each stage is a function (spark, docs, sf_dir) -> DataFrame whose result is written as Parquet and read again as the
 next one's ``docs``. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelmill.llm import decontaminate, mixing, packing, quality, simhash
+from pixelmill.llm._util import shared_folder
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +31,13 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled to tempered shares of source, language and topic."""
+    """Documents are sampled to tempered shares of source, language and form (see mixing.topic_of)."""
     return mixing.sampled(docs)
 
 
 def pack_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents become rows of packed token ids."""
-    return packing.pack(docs)
+    """Documents become rows of packed token ids; workers that ran the other stages keep fewer chunks of text."""
+    return packing.pack(docs, cache=100_000)
 
 
 STAGES = [
@@ -53,9 +54,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, writing each result to the folder that executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
