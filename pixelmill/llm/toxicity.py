@@ -128,13 +128,15 @@ def part_of(doc_id):
     return F.pmod(F.xxhash64(doc_id, F.lit(PARTS)), F.lit(PARTS)).cast("int")
 
 
-def histogram_of(pairs: list[tuple[bytes, bytes]]):
-    """Column function: (text, number of a pair of dictionaries) -> array<int>, how many windows have each gain."""
+def histograms_of(model: Model):
+    """Column function: (text, part) -> array<int>, how many windows have each gain under the dictionaries of all
+    training rows, then under those without the part; windows are cut once for both."""
+    whole, without = model.whole, model.without
 
     @F.pandas_udf("array<int>")
-    def count(text: pd.Series, pair: pd.Series) -> pd.Series:
-        gains = [_gains(*p) for p in pairs]
-        return pd.Series([gains[k](windows(t)) for t, k in zip(text, pair, strict=True)], dtype=object)
+    def count(text: pd.Series, part: pd.Series) -> pd.Series:
+        every, others = _gains(*whole), [_gains(*p) for p in without]
+        return pd.Series([np.concatenate([every(ws), others[k](ws)]) for ws, k in zip(map(windows, text), part, strict=True)], dtype=object)
 
     return count
 
@@ -226,10 +228,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit_dictionaries(docs, labels)
     if model.whole[1]:
         # every row is scored by the dictionaries of all training rows (h) and by those without its own part (c)
-        pairs = [*model.without, model.whole]
-        count = histogram_of(pairs)
-        part = F.coalesce(part_of(F.col("doc_id")), F.lit(0))
-        hist = U.checkpoint(docs.select("doc_id", count("text", F.lit(PARTS)).alias("h"), count("text", part).alias("c")))
+        n = 2 * GAINS + 1
+        both = docs.select("doc_id", histograms_of(model)("text", F.coalesce(part_of(F.col("doc_id")), F.lit(0))).alias("x"))
+        hist = U.checkpoint(both.select("doc_id", F.slice("x", 1, n).alias("h"), F.slice("x", n + 1, n).alias("c")))
         model = calibrate(model, hist, labels)
     if model.knots is None:
         return docs.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
