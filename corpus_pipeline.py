@@ -1,8 +1,8 @@
 """A training corpus from ``documents``: five stages, each calling one operator of pixelmill.llm.
 
-Nulls, empty and very long texts, repeated rows and clashing columns are handled as the operators' docstrings say; an
-empty table gives no rows at every stage. Each stage is a function (spark, docs, sf_dir) -> DataFrame whose result is written as Parquet and read again as the
-next one's ``docs``. All but the last return the columns of ``documents``.
+Each stage is a function (spark, docs, sf_dir) -> DataFrame whose result is written as Parquet and read again as the
+next one's ``docs``. All but the last return the columns of ``documents``. Nulls, empty and very long texts, ties,
+repeated rows and clashing columns are handled as the operators' docstrings say; an empty table gives no rows.
 """
 
 from __future__ import annotations
