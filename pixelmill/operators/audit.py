@@ -95,7 +95,12 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return wide.unpivot([], list(rules), "rule", "n")
 
 
-def signature(tables: Column) -> Column:
-    """`T{id}:{first 8 of MD5}` of each table, sorted and joined by `;`, or NO_Q_TABLE without any."""
-    parts = F.transform(tables, lambda t, i: F.concat(F.lit("T"), i.cast("string"), F.lit(":"), F.substring(F.md5(t), 1, 8)))
-    return F.when(F.size(tables) > 0, F.array_join(F.array_sort(parts), ";")).otherwise("NO_Q_TABLE")
+def signature(tables: Column, ids: Column | None = None) -> Column:
+    """`T{id}:{first 8 of MD5}` of each quantisation table (arrays of integers as image_headers() gives them, hashed as
+    `(16, 11, ...)`), sorted and joined by `;`, or NO_Q_TABLE without any. Without ``ids`` a table's place is its id."""
+
+    def part(t: Column, i: Column) -> Column:
+        text = F.concat(F.lit("("), F.array_join(t.cast("array<string>"), ", "), F.lit(")"))
+        return F.concat(F.lit("T"), (i if ids is None else F.get(ids, i)).cast("string"), F.lit(":"), F.substring(F.md5(text.cast("binary")), 1, 8))
+
+    return F.when(F.size(tables) > 0, F.array_join(F.array_sort(F.transform(tables, part)), ";")).otherwise("NO_Q_TABLE")

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import stats
+
 #: Rows of a feature that one estimate holds in memory; larger features are estimated in parts, by a hash of the row,
 #: and the parts' estimates are averaged by their sizes. Neighbours.
 PART_ROWS, NEIGHBOURS = 200_000, 3
@@ -55,7 +57,8 @@ def mutual_information_of(long: DataFrame, id_col: str, label: str = "label_a")
     """(feature, n, mi): non-finite values count as the feature's median."""
     v = F.col("value")
     bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    mid = long.groupBy("feature").agg(F.coalesce(F.percentile(F.when(~bad, v), F.lit(0.5)), F.lit(0.0)).alias("mid"), F.count(F.lit(1)).alias("rows"))
+    mid = long.groupBy("feature").agg(F.count(F.lit(1)).alias("rows"))
+    mid = stats.same_keys(mid, stats.quantiles(long, ["feature"], (0.5,)), ["feature"]).select("feature", "rows", F.coalesce(F.col("q")[0], F.lit(0.0)).alias("mid"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("rows") / PART_ROWS))
     x = long.join(F.broadcast(mid), "feature").select("feature", F.pmod(F.xxhash64(id_col), parts).alias("part"), F.when(bad, F.col("mid")).otherwise(v).alias("value"), F.col(label).alias("y"))
 

@@ -135,8 +135,8 @@ def pca_2d(df: DataFrame, array_col: str, dims: int) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     x = F.col(array_col)
-    aggs = [F.coalesce(F.percentile(F.when(stats.finite(x[i].cast("double")), x[i].cast("double")), F.lit(0.5)), F.lit(0.0)) for i in range(dims)]
-    mid = df.agg(F.array(*aggs).alias("mid")).first()["mid"]
+    got = {r["feature"]: r["q"][0] for r in stats.quantiles(stats.to_long(df, array_col, []), ["feature"], (0.5,)).collect()}
+    mid = [got.get(i, 0.0) for i in range(dims)]
     filled = F.array(*[F.when(stats.finite(x[i].cast("double")), x[i].cast("double")).otherwise(F.lit(m)) for i, m in enumerate(mid)])
     v = df.select("vec_id", array_to_vector(filled).alias("x"))
     v = StandardScaler(withMean=True, inputCol="x", outputCol="z").fit(v).transform(v)

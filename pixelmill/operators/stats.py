@@ -2,7 +2,8 @@
 
 Every function takes and returns DataFrames and leaves planning to Catalyst. Ranks are taken in two levels, so that no
 task holds all values of a feature: values fall into buckets that keep their order, counts before a bucket come from a
-table of bucket sums, and ranks within a bucket from a window over it.
+table of bucket sums, and ranks within a bucket from a window over it. Buckets end at approximate quantiles, so a heavy
+tail or an outlier does not crowd them; quantiles are read off the same counts and are exact.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets that a feature's value range is cut into for ranking.
-BUCKETS = 128
+#: Buckets that a feature's values are cut into for ranking (a power of two), and the relative accuracy of their ends.
+BUCKETS, ACCURACY = 128, 2000
 
 
 def finite(v: Column) -> Column:
@@ -36,7 +37,6 @@ def validity(long: DataFrame, keys: list[str]) -> DataFrame:
     ok = finite(v)
     x = F.when(ok, v)
     nan = F.lit(float("nan"))
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(ok).alias("finite"),
@@ -46,9 +46,9 @@ def validity(long: DataFrame, keys: list[str]) -> DataFrame:
         F.stddev_pop(x).alias("std"),
         F.var_pop(x).alias("variance"),
         F.min(x).alias("low"),
-        q.alias("q"),
         F.max(x).alias("high"),
     )
+    out = same_keys(out, quantiles(long, keys, (0.25, 0.5, 0.75)), keys)
     none = F.col("finite") == 0
     return out.select(
         *keys,
@@ -70,8 +70,11 @@ def class_statistics(long: DataFrame, keys: list[str], label: str = "label_a") -
     aggs = []
     for k in (0, 1):
         x = F.when(F.col(label) == k, v)
-        aggs += [F.count(x).alias(f"n{k}"), F.avg(x).alias(f"mean{k}"), F.stddev_pop(x).alias(f"std{k}"), F.percentile(x, F.lit(0.5)).alias(f"median{k}"), F.var_samp(x).alias(f"var{k}")]
+        aggs += [F.count(x).alias(f"n{k}"), F.avg(x).alias(f"mean{k}"), F.stddev_pop(x).alias(f"std{k}"), F.var_samp(x).alias(f"var{k}")]
     out = long.groupBy(*keys).agg(*aggs)
+    mid = quantiles(long.where(F.col(label).isin(0, 1)), [*keys, label], (0.5,))
+    mid = mid.groupBy(*keys).agg(*[F.max(F.when(F.col(label) == k, F.col("q")[0])).alias(f"median{k}") for k in (0, 1)])
+    out = same_keys(out, mid, keys)
     ok = (F.col("n0") >= 2) & (F.col("n1") >= 2) & (F.col("std0") > 0) & (F.col("std1") > 0)
     e0, e1 = F.col("var0") / F.col("n0"), F.col("var1") / F.col("n1")
     diff = F.col("mean1") - F.col("mean0")
@@ -84,21 +87,60 @@ def class_statistics(long: DataFrame, keys: list[str], label: str = "label_a") -
     )
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys``, null keys matching each other."""
+    r = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return left.join(r, on, "left").drop(*[f"_{k}" for k in keys])
+
+
+def bucket_ends(ok: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., _ends): approximate quantiles of each key that cut its values into buckets, one row a key. They pass
+    through the driver: estimated anew after a lost executor they might differ, and ranks would not add up."""
+    at = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    rows = ok.groupBy(*keys).agg(F.percentile_approx("value", at, F.lit(ACCURACY)).alias("_ends"))
+    return ok.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def value_counts(long: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """(keys..., bucket, value, n0, n1, below0, below1, ties...) for each distinct finite value, with how many rows of each
-    class lie strictly below it."""
-    ok = long.where(finite(F.col("value")))
-    ends = ok.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_lo")) / width * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0).cast("int")
-    one, zero = F.sum(F.when(F.col(label) == 1, 1).otherwise(0)), F.sum(F.when(F.col(label) == 0, 1).otherwise(0))
-    n = ok.join(ends, keys).withColumn("bucket", bucket).groupBy(*keys, "bucket", "value").agg(zero.alias("n0"), one.alias("n1"))
-    inside = Window.partitionBy(*keys, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = n.groupBy(*keys, "bucket").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"))
-    sums = sums.select(*keys, "bucket", *[F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)).alias(f"b{k}") for k in (0, 1)])
-    n = n.select(*keys, "bucket", "value", "n0", "n1", *[F.coalesce(F.sum(f"n{k}").over(inside), F.lit(0)).alias(f"w{k}") for k in (0, 1)])
-    return n.join(sums, [*keys, "bucket"]).select(*keys, "value", "n0", "n1", *[(F.col(f"w{k}") + F.col(f"b{k}")).alias(f"below{k}") for k in (0, 1)])
+    """(keys..., value, n0, n1, below0, below1, next0, next1, all0, all1) for each distinct finite value: rows of each
+    class at it, strictly below it, at the next lower value (null at the least), and in all."""
+    # One key that is never null: its fields may be, and then equal each other in joins, too.
+    ok = long.where(finite(F.col("value"))).select(F.struct(*keys).alias("_key"), F.col(label).alias("_label"), "value")
+    x = ok.join(bucket_ends(ok, ["_key"]), "_key").withColumn("bucket", F.lit(0))
+    step = BUCKETS // 2
+    while step:
+        # Binary search, one projection a step: ends up to the value lie before its bucket.
+        x = x.withColumn("bucket", F.col("bucket") + F.when(F.get("_ends", F.col("bucket") + F.lit(step - 1)) <= F.col("value"), step).otherwise(0))
+        step //= 2
+    one, zero = F.sum(F.when(F.col("_label") == 1, 1).otherwise(0)), F.sum(F.when(F.col("_label") == 0, 1).otherwise(0))
+    n = x.groupBy("_key", "bucket", "value").agg(zero.alias("n0"), one.alias("n1"))
+    order = Window.partitionBy("_key", "bucket").orderBy("value")
+    inside = order.rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("_key").orderBy("bucket")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_key")
+    sums = n.groupBy("_key", "bucket").agg(*[f(c).alias(c_) for k in (0, 1) for f, c, c_ in ((F.sum, f"n{k}", f"s{k}"), (lambda c: F.max_by(c, "value"), f"n{k}", f"t{k}"))])
+    sums = sums.select("_key", "bucket", *[c for k in (0, 1) for c in (F.coalesce(F.sum(f"s{k}").over(before), F.lit(0)).alias(f"b{k}"), F.sum(f"s{k}").over(whole).alias(f"all{k}"), F.lag(f"t{k}").over(across).alias(f"l{k}"))])
+    n = n.select("_key", "bucket", "value", "n0", "n1", *[c for k in (0, 1) for c in (F.coalesce(F.sum(f"n{k}").over(inside), F.lit(0)).alias(f"w{k}"), F.lag(f"n{k}").over(order).alias(f"p{k}"))])
+    out = n.join(sums, ["_key", "bucket"])
+    return out.select(*[F.col("_key").getField(k).alias(k) for k in keys], "value", "n0", "n1", *[(F.col(f"w{k}") + F.col(f"b{k}")).alias(f"below{k}") for k in (0, 1)], *[F.coalesce(f"p{k}", f"l{k}").alias(f"next{k}") for k in (0, 1)], "all0", "all1")
+
+
+def quantiles(long: DataFrame, keys: list[str], at: tuple[float, ...]) -> DataFrame:
+    """(keys..., q array): exact quantiles of the finite values, linear between neighbours; keys without any are left
+    out. Read off cumulative counts, so no task holds all values of a key."""
+    c = value_counts(long.select(*keys, "value", F.lit(0).alias("_class")), keys, "_class")
+
+    def ranked(p: float, f) -> Column:
+        r = f((F.col("all0") - 1) * F.lit(float(p)))
+        return F.max(F.when((F.col("below0") <= r) & (r < F.col("below0") + F.col("n0")), F.col("value")))
+
+    got = c.groupBy(*keys).agg(F.max("all0").alias("_n"), *[ranked(p, f).alias(f"_{n}{i}") for i, p in enumerate(at) for n, f in (("f", F.floor), ("c", F.ceil))])
+    part = [(F.col("_n") - 1) * F.lit(float(p)) - F.floor((F.col("_n") - 1) * F.lit(float(p))) for p in at]
+    return got.select(*keys, F.array(*[F.col(f"_f{i}") * (1 - d) + F.col(f"_c{i}") * d for i, d in enumerate(part)]).alias("q"))
 
 
 def auc(long: DataFrame, keys: list[str], label: str = "label_a") -> DataFrame:
@@ -118,11 +160,9 @@ def auc(long: DataFrame, keys: list[str], label: str = "label_a") -> DataFrame:
 
 def roc_points(long: DataFrame, keys: list[str], label: str = "label_a") -> DataFrame:
     """(keys..., threshold, tp, fp, tpr, fpr) for each distinct score, rows at or above it counted as positive."""
-    c = value_counts(long, keys, label)
-    total = c.groupBy(*keys).agg(F.sum("n0").alias("_p0"), F.sum("n1").alias("_p1"))
-    c = c.join(F.broadcast(total), keys)
+    c = value_counts(long, keys, label).withColumnsRenamed({"all0": "_p0", "all1": "_p1"})
     tp, fp = F.col("_p1") - F.col("below1"), F.col("_p0") - F.col("below0")
-    return c.select(*keys, F.col("value").alias("threshold"), tp.alias("tp"), fp.alias("fp"), F.when(F.col("_p1") > 0, tp / F.col("_p1")).otherwise(0.0).alias("tpr"), F.when(F.col("_p0") > 0, fp / F.col("_p0")).otherwise(0.0).alias("fpr"), "n0", "n1", "_p0", "_p1")
+    return c.select(*keys, F.col("value").alias("threshold"), tp.alias("tp"), fp.alias("fp"), F.when(F.col("_p1") > 0, tp / F.col("_p1")).otherwise(0.0).alias("tpr"), F.when(F.col("_p0") > 0, fp / F.col("_p0")).otherwise(0.0).alias("fpr"), "n0", "n1", "next0", "next1", "_p0", "_p1")
 
 
 def average_precision(long: DataFrame, keys: list[str], label: str = "label_a") -> DataFrame:
@@ -136,10 +176,8 @@ def tpr_at_fpr(long: DataFrame, keys: list[str], most: float = 0.01, label: str
     """(keys..., tpr): true positive rate of the last corner of the ROC curve with false positive rate up to ``most``;
     corners are where the curve turns, so points that lie between neighbours on a line do not count."""
     p = roc_points(long, keys, label)
-    w = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    near = p.select(*keys, "tp", "fp", "_p0", "_p1", "tpr", "fpr", F.coalesce(F.lag("tp").over(w), F.lit(0)).alias("tp_"), F.coalesce(F.lag("fp").over(w), F.lit(0)).alias("fp_"), F.lead("tp").over(w).alias("_tp"), F.lead("fp").over(w).alias("_fp"))
-    turn = F.col("_tp").isNull() | ((F.col("_tp") - F.col("tp")) != (F.col("tp") - F.col("tp_"))) | ((F.col("_fp") - F.col("fp")) != (F.col("fp") - F.col("fp_")))
-    return near.groupBy(*keys).agg(F.coalesce(F.max(F.when(turn & (F.col("fpr") <= most), F.col("tpr"))), F.lit(0.0)).alias("tpr"))
+    turn = F.col("next0").isNull() | (F.col("next1") != F.col("n1")) | (F.col("next0") != F.col("n0"))
+    return p.groupBy(*keys).agg(F.coalesce(F.max(F.when(turn & (F.col("fpr") <= most), F.col("tpr"))), F.lit(0.0)).alias("tpr"))
 
 
 def threshold_scores(df: DataFrame, score: str, label: str, at: float = 0.5) -> DataFrame:
@@ -178,8 +216,8 @@ def generator_stability(long: DataFrame, group: str = "label_b") -> DataFrame:
 
 def distribution(df: DataFrame, keys: list[str], value: Column, digits: int = 4) -> DataFrame:
     """Count, ends, mean, population deviation and linear quantiles of ``value`` by ``keys``, rounded."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75, 0.95)]))
-    a = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), q.alias("q"))
+    a = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    a = same_keys(a, quantiles(df.select(*keys, value.cast("double").alias("value")), keys, (0.25, 0.5, 0.75, 0.95)), keys)
     r = lambda c, n: F.round(c.cast("double"), digits).alias(n)
     return a.select(*keys, "n", *[r(F.col(c), c) for c in ("low", "high", "mean", "std")], *[r(F.col("q")[i], n) for i, n in enumerate(("p25", "median", "p75", "p95"))])
 
@@ -195,6 +233,15 @@ def pearson(df: DataFrame, array_col: str, dims: int, method: str = "pearson") -
     return df.sparkSession.createDataFrame(rows, "f1 int, f2 int, r double")
 
 
+def top_correlations(relevance: DataFrame, pairs: DataFrame, n: int = 30) -> DataFrame:
+    """(f1, f2, r) of the whole square matrix of the ``n`` features of highest effective AUC (the first of equals),
+    ones on its diagonal."""
+    top = F.broadcast(relevance.orderBy(F.desc("effective_auc"), "feature").limit(n).select(F.col("feature").cast("int").alias("feature")))
+    both = pairs.join(top, F.col("f1") == F.col("feature"), "left_semi").join(top, F.col("f2") == F.col("feature"), "left_semi")
+    ones = top.select(F.col("feature").alias("f1"), F.col("feature").alias("f2"), F.lit(1.0).alias("r"))
+    return both.union(both.select("f2", "f1", "r")).union(ones)
+
+
 def redundant_pairs(pairs: DataFrame, branches: DataFrame, least: float = 0.9) -> DataFrame:
     """Pairs with |r| of ``least`` or more, their branches, and whether these differ; the branch table is a registry of
     at most a few hundred rows."""
@@ -286,9 +333,9 @@ def mann_whitney(long: DataFrame, keys: list[str], label: str = "label_a") -> Da
 
 def robust_histogram(df: DataFrame, keys: list[str], value: str, bins: int = 40) -> DataFrame:
     """(keys..., bin, n): histogram between the 1st and 99th percentile widened by 5 %, rows beyond it left out."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
+    q = quantiles(df.select(*keys, F.col(value).cast("double").alias("value")), keys, (0.01, 0.99))
     pad = (F.col("q")[1] - F.col("q")[0]) * 0.05
-    x = df.join(F.broadcast(q.select(*keys, (F.col("q")[0] - pad).alias("lo"), (F.col("q")[1] + pad).alias("hi"))), keys)
+    x = same_keys(df, q.select(*keys, (F.col("q")[0] - pad).alias("lo"), (F.col("q")[1] + pad).alias("hi")), keys)
     x = x.where((F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")) & (F.col("hi") > F.col("lo")))
     b = F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)).cast("int")
     return x.groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -90,3 +90,11 @@ SELECT l_returnflag, least(floor((l_extendedprice::DOUBLE - lo) / (hi - lo) * 40
 def robust_histogram(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("v"))
     return stats.robust_histogram(d, ["l_returnflag"], "v")
+
+
+@query(f"""WITH {LONG}, {AUC}, top AS (SELECT feature FROM eff ORDER BY eff.effective_auc DESC, feature LIMIT 30),
+k AS (SELECT vec_id, feature, (rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0)::DOUBLE AS value FROM l WHERE feature IN (FROM top))
+SELECT a.feature AS f1, b.feature AS f2, round(corr(a.value, b.value), 6) AS r FROM k a JOIN k b ON a.vec_id = b.vec_id GROUP BY ALL""")
+def top_spearman(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return rounded(stats.top_correlations(stats.auc(long(spark, sf_dir), ["feature"]), stats.pearson(v, "embedding", DIMS, "spearman"), 30), "r")

@@ -91,11 +91,11 @@ def jpeg_header(data: bytes) -> dict | None:
         elif marker == 0xDA:
             break
         at += 2 + size
-    return (out | {"tables": [tables[k] for k in sorted(tables)]}) if out else None
+    return (out | {"tables": [tables[k] for k in sorted(tables)], "table_ids": sorted(tables)}) if out else None
 
 
 def image_headers(df: DataFrame, key: str, data: str) -> DataFrame:
-    """(key, bytes, width, height, components, tables, error): errors are collected, not raised."""
+    """(key, bytes, width, height, components, tables, table_ids, error): errors are collected, not raised."""
     P.image_batches(df.sparkSession)
 
     def run(pdfs):
@@ -108,11 +108,11 @@ def image_headers(df: DataFrame, key: str, data: str) -> DataFrame:
                 except (struct.error, IndexError) as e:
                     h, err = None, str(e)
                 h = h or {}
-                rows.append((k, len(b or b""), h.get("width"), h.get("height"), h.get("components"), h.get("tables"), err))
-            yield pd.DataFrame(rows, columns=["key", "bytes", "width", "height", "components", "tables", "error"]).astype({"width": "Int32", "height": "Int32", "components": "Int32"})
+                rows.append((k, len(b or b""), h.get("width"), h.get("height"), h.get("components"), h.get("tables"), h.get("table_ids"), err))
+            yield pd.DataFrame(rows, columns=["key", "bytes", "width", "height", "components", "tables", "table_ids", "error"]).astype({"width": "Int32", "height": "Int32", "components": "Int32"})
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(key, data).mapInPandas(run, f"key {kind}, bytes long, width int, height int, components int, tables array<array<int>>, error string")
+    out = df.select(key, data).mapInPandas(run, f"key {kind}, bytes long, width int, height int, components int, tables array<array<int>>, table_ids array<int>, error string")
     return out.withColumnRenamed("key", key)
 
 

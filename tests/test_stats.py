@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -84,12 +86,37 @@ def test_duplicate_groups_across_splits(spark):
     assert (got["groups"], got["rows_in_groups"], got["cross_01"], got["cross_label"], got["cross_generator"]) == (2, 4, 1, 1, 1)
 
 
-def test_signature_without_tables(spark):
+def test_signature(spark):
+    import hashlib
+
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([([],), ([bytearray(b"x")],)], "t array<binary>")
-    got = [r[0] for r in df.select(audit.signature(F.col("t"))).collect()]
-    assert got[0] == "NO_Q_TABLE" and got[1].startswith("T0:")
+    table = [16, 11, *range(62)]
+    df = spark.createDataFrame([([], []), ([table, [1]], [0, 2])], "t array<array<int>>, i array<int>")
+    got = [r[0] for r in df.select(audit.signature(F.col("t"), F.col("i"))).collect()]
+    first, second = (hashlib.md5(x.encode()).hexdigest()[:8] for x in (str(tuple(table)), "(1)"))
+    assert got == ["NO_Q_TABLE", f"T0:{first};T2:{second}"]
+
+
+def test_quantiles_and_ranks_of_heavy_tails(spark):
+    """A tail of 1e300 and a third of all rows tied leave exact quantiles and ranks; null keys and bad values as well."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.exp(rng.normal(size=2000) * 8), np.full(1000, 3.0), [1e300, -1e300, 0.0]])
+    y = rng.integers(0, 2, len(x))
+    rows = [(k, float(v), int(c)) for k in ("a", None) for v, c in zip(x, y)] + [("a", float("nan"), 0), ("a", None, 1), ("b", float("inf"), 1), ("c", 7.0, 1)]
+    long = spark.createDataFrame(rows, "k string, value double, label_a int")
+    got = {r["k"]: r["q"] for r in stats.quantiles(long, ["k"], (0.0, 0.01, 0.25, 0.5, 0.95, 1.0)).collect()}
+    assert set(got) == {"a", None, "c"} and got["c"] == [7.0] * 6
+    want = np.quantile(x, (0.0, 0.01, 0.25, 0.5, 0.95, 1.0))
+    assert np.allclose(got["a"], want) and np.allclose(got[None], want)
+    counts = stats.value_counts(long.where("k = 'a'"), ["k"], "label_a").toPandas().sort_values("value")
+    assert counts.below0.tolist() == (counts.n0.cumsum() - counts.n0).tolist() and counts.below1.tolist() == (counts.n1.cumsum() - counts.n1).tolist()
+    assert counts.next1.tolist()[1:] == counts.n1.tolist()[:-1] and counts.next0.isna().sum() == 1
+    assert {(r["all0"], r["all1"]) for r in counts.to_dict("records")} == {(int((y == 0).sum()), int((y == 1).sum()))}
+    v = {r["k"]: r for r in stats.validity(long, ["k"]).collect()}
+    assert v[None]["median"] == v["a"]["median"] == np.median(x) and math.isnan(v["b"]["median"])
 
 
 def test_sign_flips():
