@@ -16,21 +16,25 @@ def quaternion_features(rgb: np.ndarray, levels: int = 3) -> dict:
     for level in range(1, levels + 1):
         bands = K.haar(at)
         for name in ("LL", "LH", "HL", "HH"):
-            q = bands[name].reshape(len(rgb), 3, -1)
-            m = np.sqrt((q**2).sum(axis=1) + K.TINY)
-            z = (m - m.mean(axis=1, keepdims=True)) / (m.std(axis=1, ddof=1, keepdims=True) + K.TINY)
-            angle = {k: np.arctan2(q[:, b], q[:, a] + K.TINY) for k, a, b in PAIRS}
-            head = f"qwt_{name}{level}"
-            out |= {f"{head}_magnitude_mean": m.mean(axis=1), f"{head}_magnitude_std": m.std(axis=1, ddof=1), f"{head}_magnitude_energy": (m**2).mean(axis=1), f"{head}_magnitude_entropy": K.histogram_entropy(m)}
-            out |= {f"{head}_phase_{k}_circular_coherence": np.sqrt(np.cos(a).mean(axis=1) ** 2 + np.sin(a).mean(axis=1) ** 2 + K.TINY) for k, a in angle.items()}
-            out |= {f"{head}_phase_{k}_std": a.std(axis=1, ddof=1) for k, a in angle.items()}
-            out |= {f"{head}_quaternion_skewness": (z**3).mean(axis=1), f"{head}_quaternion_kurtosis": (z**4).mean(axis=1)}
+            out |= quaternion_band(bands[name], f"qwt_{name}{level}")
         at = bands["LL"]
     energy = {k: v for k, v in out.items() if k.endswith("_magnitude_energy")}
     detail = sum(v for k, v in energy.items() if "_LL" not in k)
     return out | {"qwt_detail_magnitude_energy_ratio": detail / (sum(energy.values()) + K.TINY)}
 
 
+def quaternion_band(band: np.ndarray, head: str) -> dict:
+    """The statistics of one band [n, 3, height, width]."""
+    q = band.reshape(len(band), 3, -1)
+    m = np.sqrt((q**2).sum(axis=1) + K.TINY)
+    z = (m - m.mean(axis=1, keepdims=True)) / (m.std(axis=1, ddof=1, keepdims=True) + K.TINY)
+    angle = {k: np.arctan2(q[:, b], q[:, a] + K.TINY) for k, a, b in PAIRS}
+    out = {f"{head}_magnitude_mean": m.mean(axis=1), f"{head}_magnitude_std": m.std(axis=1, ddof=1), f"{head}_magnitude_energy": (m**2).mean(axis=1), f"{head}_magnitude_entropy": K.histogram_entropy(m)}
+    out |= {f"{head}_phase_{k}_circular_coherence": np.sqrt(np.cos(a).mean(axis=1) ** 2 + np.sin(a).mean(axis=1) ** 2 + K.TINY) for k, a in angle.items()}
+    out |= {f"{head}_phase_{k}_std": a.std(axis=1, ddof=1) for k, a in angle.items()}
+    return out | {f"{head}_quaternion_skewness": (z**3).mean(axis=1), f"{head}_quaternion_kurtosis": (z**4).mean(axis=1)}
+
+
 def short_dct_features(g: np.ndarray) -> dict:
     d = K.block_dct(g)
     e = d**2
