@@ -4,7 +4,6 @@ decreasing with a segment tree over free capacities, and rows of a packed id mat
 from __future__ import annotations
 
 import base64
-import re
 from collections import defaultdict
 
 import numpy as np
@@ -15,8 +14,8 @@ from pyspark.sql import types as T
 
 from . import _util as U
 
-#: Ids in a row of the matrix, rows' worth of ids packed at a time, chunks of text kept with their ids, and padding.
-LENGTH, GROUP_ROWS, CACHE, PAD = 2048, 2048, 300_000, 50256
+#: Ids in a row of the matrix, rows' worth of ids packed at a time, chunks of text kept with their ids (none), and padding.
+LENGTH, GROUP_ROWS, CACHE, PAD = 2048, 2048, 0, 50256
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pre-tokenizer's public pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -36,58 +35,26 @@ SCHEMA = T.StructType(
 
 
 class Encoder:
-    """Token ids of a text by byte-level BPE. Texts are cut where white space follows a character that is none,
-    which the pattern never crosses, and the ids of frequent chunks are kept."""
+    """Token ids of a text by byte-level BPE. A text is encoded in one call: keeping the ids of frequent chunks costs more
+    than it saves where most chunks are new."""
 
-    _made: dict[tuple, Encoder] = {}
+    _made: dict[str, Encoder] = {}
 
-    def __init__(self, vocabulary: str, cache: int | None = None):
+    def __init__(self, vocabulary: str):
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache = cache or CACHE
-        self.kept: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint16)
-        self.ends = np.zeros(self.cache + 1, np.int64)
-        self.twice = re.compile(r"\s\s|\s$")
 
     @classmethod
-    def of(cls, vocabulary: str, cache: int | None = None) -> Encoder:
-        if (vocabulary, cache) not in cls._made:
-            cls._made[vocabulary, cache] = cls(vocabulary, cache)
-        return cls._made[vocabulary, cache]
-
-    def _keep(self, chunk: str) -> int:
-        ids, n = self.bpe.encode_ordinary(" " + chunk), len(self.kept)
-        end = self.ends[n] + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.ends[n] : end] = ids
-        self.ends[n + 1] = end
-        self.kept[chunk] = n
-        return n
+    def of(cls, vocabulary: str) -> Encoder:
+        if vocabulary not in cls._made:
+            cls._made[vocabulary] = cls(vocabulary)
+        return cls._made[vocabulary]
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(text) < 64 or self.twice.search(text):
-            return np.asarray(self.bpe.encode_ordinary(text), np.uint16)
-        first, *rest = text.split(" ")
-        if len(self.kept) + len(rest) > self.cache:
-            self.kept.clear()
-            if len(rest) > self.cache // 2:
-                return np.asarray(self.bpe.encode_ordinary(text), np.uint16)
-        at = list(map(self.kept.get, rest))
-        if None in at:
-            get = self.kept.get
-            for i, x in enumerate(at):
-                if x is None:
-                    n = get(rest[i])
-                    at[i] = self._keep(rest[i]) if n is None else n
-        at = np.array(at, np.int64)
-        start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-        take = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.concatenate([np.asarray(self.bpe.encode_ordinary(first), np.uint16), self.flat[take]])
+        return np.array(self.bpe.encode_ordinary(text), np.uint16)
 
     def decode(self, ids) -> str:
         return self.bpe.decode(list(map(int, ids)))
@@ -141,7 +108,7 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, cache: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) -> DataFrame:
     """Packed rows of all of ``docs`` (doc_id, text); see SCHEMA.
 
     ``ids`` holds ``length`` little-endian uint16 ids, padded with PAD after ``n_tokens``; ``cu_seqlens`` runs from 0
@@ -149,7 +116,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, ca
     lists give each segment's document, the segment's offset in it and the document's number of ids. A document
     without ids (null or empty text) is a segment of no ids, so every row of the input appears. Null ids stay null
     and repeated rows are packed each; ties in size go by order of reading; other columns are not read; an empty table
-    gives no rows. ``cache`` bounds the chunks that a worker keeps with their ids (CACHE if None) and changes no result.
+    gives no rows.
     Tasks pack what they read, in groups of bounded size, so nothing is shuffled.
     """
     U.small_batches(docs)
@@ -157,7 +124,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, ca
     def packed(batches):
         from pyspark import TaskContext
 
-        encode, made, base = Encoder.of(vocabulary, cache), 0, TaskContext.get().partitionId() << 33
+        encode, made, base = Encoder.of(vocabulary), 0, TaskContext.get().partitionId() << 33
         held: list[tuple] = []
         total = 0
 

@@ -45,6 +45,13 @@ def test_cache_overflow_changes_nothing(monkeypatch):
         assert e(t).tolist() == e.bpe.encode_ordinary(t)
 
 
+def test_a_text_is_encoded_in_one_call(monkeypatch):
+    e = packing.Encoder(packing.VOCABULARY)
+    text, calls, plain = " ".join(f"w{i}x" for i in range(500)), [], e.bpe.encode_ordinary
+    monkeypatch.setattr(e.bpe, "encode_ordinary", lambda t: calls.append(t) or plain(t))
+    assert e(text).tolist() == plain(text) and calls == [text]
+
+
 def test_packing_round_trip(spark, small):
     rows = queries.op7_packed_ids(spark, small)
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
