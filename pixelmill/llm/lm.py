@@ -1,8 +1,10 @@
 """Brown class-based bigram model: exchange clustering gives words classes; class transitions and word emissions, both
 smoothed, give each text's log probability.
 
-Counts of words cover the whole training corpus and are exact. Only the KNOWN most frequent words travel to the
-tasks; the counts of all others meet their occurrences in a join.
+The commonest words and groups of endings are clustered one by one; then every other word takes the class that its own
+neighbours in training favour, and transitions are counted anew. Counts and classes cover all words of the training
+corpus. Only the KNOWN most frequent words travel to the tasks; the counts and classes of all others meet their
+occurrences in a join.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from math import log10
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +24,11 @@ from . import _util as U
 
 #: Words whose counts are sent to tasks; of them, words that are clustered one by one; groups of other words, by their
 #: endings, that are clustered as groups; classes; exchange rounds; smoothing of emissions and transitions. The table of
-#: item bigrams has 6.6 million cells at most, 52 MB in a task.
+#: item bigrams has 6.6 million cells at most, 52 MB in a task. FLUSH: distinct words that a task holds; FEW: see seeds().
 KNOWN, SINGLE, ENDINGS, CLASSES, ROUNDS, ALPHA, BETA = 150_000, 2048, 511, 64, 6, 0.1, 0.1
 ITEMS = SINGLE + ENDINGS + 1  # the last is the end of a text, which also stands before its first word
 END = ITEMS - 1
+FLUSH, FEW = 400_000, 100_000
 BLOCK = 1 << 16  # cells of the bigram table in a row that the driver receives
 
 
@@ -33,7 +37,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    """Item of a word that is not clustered by itself: its last letters and whether it is plain ASCII."""
+    """Item of a word that is not clustered by itself, by its last letters: its class as a neighbour in the exchange, and
+    as long as it has no occurrence in training."""
     return SINGLE + zlib.crc32(word.rstrip(b".,;:!?")[-3:]) % ENDINGS
 
 
@@ -107,26 +112,155 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return cls
 
 
-def vocabulary(train: DataFrame) -> DataFrame:
-    """(word binary, c) over all of ``train`` (text), the end of each text counted under the empty word."""
+def seeds(train: DataFrame) -> list[bytes]:
+    """The SINGLE commonest words, commonest first. A word's count is summed over the parts (FLUSH distinct words or a
+    task) in which it is at least a FEW-th of the tokens, so it is low by that share of all tokens at most."""
 
     def counted(batches):
         seen: Counter = Counter()
+
+        def frequent():
+            least = seen.total() / FEW
+            some = [(w, c) for w, c in seen.items() if c >= least]
+            seen.clear()
+            return pd.DataFrame({"word": [w for w, _ in some], "c": [c for _, c in some]})
+
         for pdf in batches:
             for t in pdf.text:
                 seen.update(words_of(t))
-                seen[b""] += 1
-                if len(seen) > 400_000:
-                    yield pd.DataFrame({"word": list(seen), "c": list(seen.values())})
-                    seen = Counter()
+            if len(seen) > FLUSH:
+                yield frequent()
         if seen:
-            yield pd.DataFrame({"word": list(seen), "c": list(seen.values())})
+            yield frequent()
+
+    found = train.select("text").mapInPandas(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return [bytes(r["word"]) for r in found.orderBy(F.desc("c"), "word").limit(SINGLE).collect()]
+
+
+def joined(batches, rows: int):
+    """Arrow tables of at least ``rows`` rows, but for the last, made of small batches."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def preference(moves: np.ndarray) -> np.ndarray:
+    """(2 * classes x classes): what the log likelihood of a word's occurrences gains if it is in a class, for each
+    occurrence after a class (first half) and before a class (second half); ``moves``: counts of class bigrams."""
+    n = moves + BETA
+    after = np.log(n / n.sum(axis=1, keepdims=True)) - np.log(n.sum(axis=0))  # the word's share of its class
+    return np.concatenate([after, np.log(n / n.sum(axis=1, keepdims=True)).T])
+
+
+def vocabulary(train: DataFrame, single: list[bytes], cls: np.ndarray, moves: np.ndarray) -> DataFrame:
+    """(word binary, c, k) over all of ``train`` (text): counts of all words and their classes; the end of each text is the
+    empty word.
+
+    A word of ``single`` has its class in ``cls``. Any other is put into the class that its own neighbours favour most:
+    all its occurrences count, with the classes that words and endings had in the exchange, and all words move at once.
+    Tasks pass on each word's neighbours as pairs of bytes, or as a table where that is shorter.
+    """
+    width = 2 * CLASSES
+    handle = train.sparkSession.sparkContext.broadcast((single, cls, preference(moves)))
+
+    def counted(batches):
+        single, cls, _ = handle.value
+        start = {w: i for i, w in enumerate(single)} | {b"": len(single)}
+        of_ending = cls[SINGLE : SINGLE + ENDINGS].tolist()
+        at, kind, ids = dict(start), [*cls[: len(single)].tolist(), int(cls[END])], [len(single)]
+
+        def merged():
+            x = np.array(ids, np.int32)
+            k = np.array(kind, np.uint8)[x]
+            c = np.bincount(x[1:], minlength=len(kind))
+            rare = np.flatnonzero(x >= len(start))  # never first or last: texts end with their end
+            order = rare[np.argsort(x[rare], kind="stable")]
+            near = np.stack([k[order - 1], k[order + 1]], axis=1)
+            raw, ends = near.tobytes(), np.cumsum(2 * c[len(start) :]).tolist()
+            out = [b""] * len(start)
+            for a, b in zip([0, *ends], ends, strict=False):
+                if b - a > 4 * width:
+                    two = near[a // 2 : b // 2].astype(np.int64) + (0, CLASSES)
+                    out.append(np.bincount(two.ravel(), minlength=width).astype(np.uint32).tobytes() + b"T")
+                else:
+                    out.append(raw[a:b])
+            got = pd.DataFrame({"word": list(at), "c": c, "near": out})
+            return got[got.c > 0]
+
+        for pdf in batches:
+            for t in pdf.text:
+                ws = words_of(t)
+                found = list(map(at.get, ws))
+                if None in found:
+                    for i, n in enumerate(found):
+                        if n is None:
+                            w = ws[i]
+                            n = at.get(w)
+                            if n is None:
+                                n = at[w] = len(kind)
+                                kind.append(of_ending[ending(w) - SINGLE])
+                            found[i] = n
+                ids += found
+                ids.append(len(single))
+            if len(at) > FLUSH or len(ids) > 2_000_000:
+                yield merged()
+                at, kind, ids = dict(start), kind[: len(start)], [len(single)]
+        if len(ids) > 1:
+            yield merged()
+
+    def placed(batches):
+        single, cls, gain = handle.value
+        fixed = {w: int(k) for w, k in zip(single, cls, strict=False)} | {b"": int(cls[END])}
+        pair = (gain[:CLASSES, None] + gain[None, CLASSES:]).reshape(-1, CLASSES)  # by the classes on both sides
+        last: tuple = ()  # the last word so far, which may go on, with its count and what each class gains
+
+        def rows(words, counts, k):
+            got = [fixed.get(w, x) for w, x in zip(words, k.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(got, pa.int32())], ["word", "c", "k"])
+
+        for t in joined(batches, 8192):
+            words, near = t["word"].to_pylist(), t["near"].to_pylist()
+            new = np.array([True, *(a != b for a, b in zip(words, words[1:]))])
+            start = np.flatnonzero(new)
+            row = np.cumsum(new) - 1
+            total = np.add.reduceat(t["c"].to_numpy(), start)
+            full = [i for i, x in enumerate(near) if len(x) % 2]
+            tables = [np.frombuffer(near[i][:-1], np.uint32) for i in full]
+            for i in full:
+                near[i] = b""
+            two = np.frombuffer(b"".join(near), np.uint8).reshape(-1, 2)
+            of = np.repeat(row, [len(x) // 2 for x in near])
+            value = np.zeros((len(start), CLASSES))
+            if len(of):
+                at = np.flatnonzero(np.diff(of, prepend=-1))
+                value[of[at]] = np.add.reduceat(pair[two[:, 0].astype(np.int64) * CLASSES + two[:, 1]], at)
+            for i, x in zip(full, tables, strict=True):
+                value[row[i]] += x @ gain
+            names = [words[i] for i in start]
+            if last:
+                if names[0] == last[0]:
+                    total[0] += last[1]
+                    value[0] += last[2]
+                else:
+                    yield rows([last[0]], [last[1]], np.argmax(last[2][None], axis=1))
+            if len(names) > 1:
+                yield rows(names[:-1], total[:-1], np.argmax(value[:-1], axis=1))
+            last = names[-1], int(total[-1]), value[-1].copy()
+        if last:
+            yield rows([last[0]], [last[1]], np.argmax(last[2][None], axis=1))
 
-    return train.select("text").mapInPandas(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    parts = train.select("text").mapInPandas(counted, "word binary, c long, near binary")
+    return parts.repartition("word").sortWithinPartitions("word").mapInArrow(placed, "word binary, c long, k int")
 
 
-def most_frequent(vocab: DataFrame, most: int = KNOWN) -> list[tuple[bytes, int]]:
-    """(word, c) of the words whose count reaches the lowest bound that at most ``most`` words reach, commonest first.
+def most_frequent(vocab: DataFrame, most: int = KNOWN) -> list[tuple[bytes, int, int]]:
+    """(word, c, k) of the words whose count reaches the lowest bound that at most ``most`` words reach, commonest first.
     A histogram of counts, exact below 1,000 and logarithmic above, gives the bound, so that no more is collected."""
     c = F.col("c")
     bin_ = F.when(c < 1000, c).otherwise(1000 + F.floor(F.log10(c / 1000.0) * 1000)).cast("int")
@@ -139,7 +273,7 @@ def most_frequent(vocab: DataFrame, most: int = KNOWN) -> list[tuple[bytes, int]
     if least is None:
         return []
     rows = vocab.where(bin_ >= least).collect()
-    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    return sorted(((bytes(r["word"]), r["c"], r["k"]) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
 def item_pairs(train: DataFrame, single: list[bytes]) -> np.ndarray:
@@ -177,20 +311,36 @@ def item_pairs(train: DataFrame, single: list[bytes]) -> np.ndarray:
     return out[: ITEMS * ITEMS].reshape(ITEMS, ITEMS)
 
 
+def class_moves(rows: DataFrame) -> np.ndarray:
+    """Counts of class bigrams over all of ``rows`` (ks: the classes of a text between two ends)."""
+
+    def counted(batches):
+        table = np.zeros(CLASSES * CLASSES, np.int64)
+        for pdf in batches:
+            for k in pdf.ks:
+                k = np.frombuffer(k, np.uint8).astype(np.int64)
+                table += np.bincount(k[:-1] * CLASSES + k[1:], minlength=CLASSES * CLASSES)
+        at = np.flatnonzero(table)
+        yield pd.DataFrame({"pair": at, "n": table[at]})
+
+    out = np.zeros(CLASSES * CLASSES)
+    for r in rows.select("ks").mapInPandas(counted, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(CLASSES, CLASSES)
+
+
 @lru_cache(1)
-def _tables(handle) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, Items]:
-    """word -> row, and by row the class, log10(c + ALPHA) and whether c is known; built once a worker."""
-    m = handle.value
-    items = Items(m["single"])
-    cls = m["cls"][np.array(items(m["words"]), np.int64)] if m["words"] else np.zeros(0, np.int64)
-    return {w: i for i, w in enumerate(m["words"])}, cls, np.log10(np.array(m["counts"], float) + ALPHA), m["cls"], items
+def _tables(handle) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """word -> row, and by row the class and log10(c + ALPHA), and the class of each item; built once a worker."""
+    words, counts, kinds, cls = handle.value
+    return {w: i for i, w in enumerate(words)}, np.array(kinds, np.uint8), np.log10(np.array(counts, float) + ALPHA), cls
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
     Learns from the rows outside fold 0 of 10. A null or empty text is its end alone. Unknown words are an event of
-    their class with count 0, so probabilities sum to 1 over known words and one unknown for each class. Repeated
+    the class of their ending with count 0, so probabilities sum to 1 over known words and one unknown for each class. Repeated
     rows are each scored; very long texts are scored whole; words of equal count are ranked by their bytes; other
     columns of ``docs`` are not read, whatever their names; without training rows every count is 0; an empty table
     gives no rows.
@@ -199,75 +349,91 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     held = U.fold(F.col("doc_id"), 10) == 0
     train = docs.where(~held)
-    vocab = U.checkpoint(vocabulary(train))
-    total = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_all, v_all = total["n"], total["v"]
-    top = most_frequent(vocab)
-    whole = v_all <= len(top)
-    single = [w for w, _ in top if w][:SINGLE]
+    single = seeds(train)
     pairs = item_pairs(train, single)
     cls = exchange(pairs)
-    handle = spark.sparkContext.broadcast({"single": single, "cls": cls, "words": [w for w, _ in top if w], "counts": [c for w, c in top if w]})
-
-    @F.pandas_udf("int")
-    def class_of(word: pd.Series) -> pd.Series:
-        *_, cls, items = _tables(handle)
-        return pd.Series(cls[np.array(items([bytes(w) for w in word]), np.int64)].astype(np.int32))
-
+    vocab = U.checkpoint(vocabulary(train, single, cls, class_table(pairs, cls, CLASSES)))
     size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in vocab.where("word <> X''").groupBy(class_of("word").alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+    for r in vocab.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         size[r["k"]], kinds[r["k"]] = r["n"], r["v"]
-    # The end of a text is a word of its class like others.
-    n_end = next((c for w, c in top if not w), 0) if whole or any(not w for w, _ in top) else vocab.where("word = X''").first()["c"]
-    size[cls[END]] += n_end
-    kinds[cls[END]] += 1
+    n_all, v_all = int(size.sum()), int(kinds.sum())
+    n_end = next((r["c"] for r in vocab.where("word = X''").collect()), 0)
+    kinds[cls[END]] += n_end == 0  # the end of a text is a word of its class like others
     emit = -np.log10(size + ALPHA * (kinds + 1))
-    moves = class_table(pairs, cls, CLASSES)
-    step = np.log10((moves + BETA) / (moves.sum(axis=1, keepdims=True) + BETA * CLASSES))
     base = -log10(n_all + ALPHA * (v_all + 1))
     end_log = log10(n_end + ALPHA)
     n_known_end = int(n_end > 0)
+    top = [x for x in most_frequent(vocab) if x[0]]
+    handle = spark.sparkContext.broadcast(([w for w, *_ in top], [c for _, c, _ in top], [k for *_, k in top], cls))
 
-    def scored(batches):
-        index, row_cls, row_log, cls_of, items = _tables(handle)
+    def read(batches):
+        index, row_cls, row_log, cls_of = _tables(handle)
         for pdf in batches:
             out = []
             for t in pdf.text:
                 ws = words_of(t)
                 at = list(map(index.get, ws))
-                rest = Counter(w for w, i in zip(ws, at, strict=True) if i is None)
-                k = np.empty(len(ws) + 2, np.int64)
-                k[0] = k[-1] = cls_of[END]
+                rest = [i for i, x in enumerate(at) if x is None]
+                k = np.full(len(ws) + 2, cls_of[END], np.uint8)
                 if rest:
-                    k[1:-1] = [cls_of[ending(w)] if i is None else row_cls[i] for w, i in zip(ws, at, strict=True)]
-                    known = np.array([i for i in at if i is not None], np.int64)
+                    far = [ws[i] for i in rest]
+                    known = np.array([x for x in at if x is not None], np.int64)
+                    here = np.ones(len(ws) + 2, bool)
+                    here[np.array(rest) + 1] = here[0] = here[-1] = False
+                    k[here] = row_cls[known]
+                    k[np.array(rest) + 1] = cls_of[[ending(w) for w in far]]  # stays where the word is new
                 else:
-                    known = np.array(at, np.int64)
+                    far, known = [], np.array(at, np.int64)
                     k[1:-1] = row_cls[known]
-                logs = float(row_log[known].sum()) + end_log
-                classes = float(step[k[:-1], k[1:]].sum() + emit[k[1:]].sum())
-                out.append((len(ws) + 1, len(known) + n_known_end, logs, classes, list(rest), list(rest.values())))
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out}).assign(**dict(zip(("n_tokens", "n_known", "logs", "classes", "words", "times"), map(list, zip(*out)), strict=False))) if out else None
+                out.append((len(ws) + 1, len(known) + n_known_end, float(row_log[known].sum()) + end_log, k.tobytes(), far, [i + 1 for i in rest]))
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out}).assign(**dict(zip(("n_tokens", "n_known", "logs", "ks", "words", "at"), map(list, zip(*out)), strict=False))) if out else None
 
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, classes double, words array<binary>, times array<long>"
-    rows = docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(scored, kind)
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, ks binary, words array<binary>, at array<long>"
+    rows = docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(read, kind)
     # Row numbers are stored with the rows, so nothing that is computed again can change them.
     rows = U.checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    if whole:
-        rare = rare.withColumn("c", F.lit(0).cast("long"))
-    else:
-        rare = rare.join(vocab, "word", "left")
+    rare = rows.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "at")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.at").alias("at"))
+    rare = rare.join(vocab, "word", "left")
     c = F.coalesce("c", F.lit(0))
-    more = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(c + F.lit(ALPHA))).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"))
-    logs = F.col("logs") + F.coalesce("more", F.lit(0.0))
-    return rows.drop("words", "times").join(more, "row", "left").select(
+    more = rare.groupBy("row").agg(
+        F.sum(F.log10(c + F.lit(ALPHA))).alias("more"), F.count("c").alias("known"), F.collect_list(F.col("at") * CLASSES + F.col("k")).alias("put")
+    )
+
+    @F.pandas_udf("binary")
+    def whole(ks: pd.Series, put: pd.Series) -> pd.Series:
+        out = []
+        for k, p in zip(ks, put, strict=True):
+            if p is not None and len(p):
+                k, p = np.frombuffer(k, np.uint8).copy(), np.asarray(p, np.int64)
+                k[p // CLASSES] = p % CLASSES
+                k = k.tobytes()
+            out.append(k)
+        return pd.Series(out, dtype=object)
+
+    rows = U.checkpoint(
+        rows.drop("words", "at").join(more, "row", "left").select(
+            "doc_id",
+            "held_out",
+            "n_tokens",
+            (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
+            (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs"),
+            whole("ks", "put").alias("ks"),
+        )
+    )
+    moves = class_moves(rows.where("NOT held_out"))
+    step = np.log10((moves + BETA) / (moves.sum(axis=1, keepdims=True) + BETA * CLASSES))
+
+    @F.pandas_udf("double")
+    def steps(ks: pd.Series) -> pd.Series:
+        each = (np.frombuffer(k, np.uint8) for k in ks)
+        return pd.Series([float(step[k[:-1], k[1:]].sum() + emit[k[1:]].sum()) for k in each], dtype=float)
+
+    return rows.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
+        "n_known",
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (logs + F.col("n_tokens") * F.lit(base)).alias("base_score"),
-        (logs + F.col("classes")).alias("score"),
+        (F.col("logs") + F.col("n_tokens") * F.lit(base)).alias("base_score"),
+        (F.col("logs") + steps("ks")).alias("score"),
     )
-
