@@ -57,6 +57,14 @@ def small_batches(df: DataFrame, rows: int = 256) -> None:
         conf.set(key, str(rows))
 
 
+def batch_bytes(df: DataFrame, size: int = 1 << 20) -> None:
+    """Hold the session's Arrow batches to ``size`` bytes, whatever their rows; one row may be longer. A smaller setting
+    stays."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > size:
+        spark.conf.set(key, str(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,13 +10,13 @@ occurrences in a join.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from functools import lru_cache
 from math import log10
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,34 +24,91 @@ from . import _util as U
 
 #: Words whose counts are sent to tasks; of them, words that are clustered one by one; groups of other words, by their
 #: endings, that are clustered as groups; classes; exchange rounds; smoothing of emissions and transitions. The table of
-#: item bigrams has 6.6 million cells at most, 52 MB in a task. FLUSH: distinct words that a task holds; FEW: see seeds().
+#: item bigrams has 6.6 million cells at most, 52 MB in a task. FLUSH: bytes of text that a task counts at once; FEW: see seeds().
 KNOWN, SINGLE, ENDINGS, CLASSES, ROUNDS, ALPHA, BETA = 150_000, 2048, 511, 64, 6, 0.1, 0.1
 ITEMS = SINGLE + ENDINGS + 1  # the last is the end of a text, which also stands before its first word
 END = ITEMS - 1
-FLUSH, FEW = 400_000, 100_000
+FLUSH, FEW = 32 << 20, 100_000
 BLOCK = 1 << 16  # cells of the bigram table in a row that the driver receives
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
 def ending(word: bytes) -> int:
     """Item of a word that is not clustered by itself, by its last letters: its class as a neighbour in the exchange, and
     as long as it has no occurrence in training."""
     return SINGLE + zlib.crc32(word.rstrip(b".,;:!?")[-3:]) % ENDINGS
 
 
-class Items:
-    """word -> item, for lists of words."""
+def joined(batches, size: int):
+    """Arrow tables of ``size`` bytes or little more, but for the last and for rows that are longer, made of small batches."""
+    held, n = [], 0
+    for batch in batches:
+        step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            held.append(batch.slice(i, step))
+            n += held[-1].nbytes
+            if n >= size:
+                out, held, n = pa.Table.from_batches(held), [], 0
+                yield out
+                del out
+    if held:
+        yield pa.Table.from_batches(held)
+    pa.default_memory_pool().release_unused()  # workers are kept for later stages
+
+
+def bounds(a: pa.BinaryArray) -> np.ndarray:
+    """Offsets of the values of a binary array in its data."""
+    return np.frombuffer(a.buffers()[1], np.int32, len(a) + 1, 4 * a.offset) if len(a) else np.zeros(1, np.int32)
+
+
+def binary(offsets: np.ndarray, data) -> pa.BinaryArray:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def words_of(texts: pa.ChunkedArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Lower-cased words of all texts, one after another, and their number in each text; a null is an empty text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.combine_chunks(), "")))
+    words, n = lists.flatten().cast(pa.binary()), lists.value_lengths().to_numpy(zero_copy_only=False)
+    full = np.diff(bounds(words)) > 0  # white space at either end of a text gives an empty word there
+    if not full.all():
+        words, n = words.filter(pa.array(full)), np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
+    return words, n
+
+
+def endings(words: pa.BinaryArray) -> np.ndarray:
+    """ending() of each word."""
+    words = pc.ascii_rtrim(words.view(pa.string()), characters=".,;:!?")
+    at, crc = bounds(words), np.full(len(words), 0xFFFFFFFF, np.uint32)
+    data, size = np.frombuffer(words.buffers()[2] or b"", np.uint8), np.diff(at)
+    for j in (3, 2, 1):
+        some = np.flatnonzero(size >= j)
+        c = crc[some]
+        crc[some] = CRC[(c ^ data[at[some + 1] - j]) & 255] ^ (c >> 8)
+    return SINGLE + (~crc % ENDINGS).astype(np.int32)
+
+
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+CRC = _crc_table()
+
+
+def items(words: pa.BinaryArray, single: pa.BinaryArray) -> np.ndarray:
+    """Item of each word."""
+    found = pc.index_in(words, value_set=single)
+    out = found.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+    out[out < 0] = endings(words.filter(found.is_null()))
+    return out
 
-    def __init__(self, single: list[bytes]):
-        self.map = {w: i for i, w in enumerate(single)}
 
-    def __call__(self, words: list[bytes]) -> list[int]:
-        get = self.map.get
-        out = list(map(get, words))
-        return [ending(w) if i is None else i for w, i in zip(words, out, strict=True)] if None in out else out
+def places(n: np.ndarray) -> np.ndarray:
+    """Place of each word of texts of ``n`` words in a sequence where an end stands before the first and after each text."""
+    out = np.repeat(np.arange(1, len(n) + 1, dtype=np.int32), n)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def class_table(pairs: np.ndarray, cls: np.ndarray, classes: int) -> np.ndarray:
@@ -113,43 +170,21 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
 
 
 def seeds(train: DataFrame) -> list[bytes]:
-    """The SINGLE commonest words, commonest first. A word's count is summed over the parts (FLUSH distinct words or a
-    task) in which it is at least a FEW-th of the tokens, so it is low by that share of all tokens at most."""
+    """The SINGLE commonest words, commonest first. A word's count is summed over the parts (FLUSH bytes of text or
+    a task) in which it is at least a FEW-th of the tokens, so it is low by that share of all tokens at most."""
 
     def counted(batches):
-        seen: Counter = Counter()
-
-        def frequent():
-            least = seen.total() / FEW
-            some = [(w, c) for w, c in seen.items() if c >= least]
-            seen.clear()
-            return pd.DataFrame({"word": [w for w, _ in some], "c": [c for _, c in some]})
-
-        for pdf in batches:
-            for t in pdf.text:
-                seen.update(words_of(t))
-            if len(seen) > FLUSH:
-                yield frequent()
-        if seen:
-            yield frequent()
-
-    found = train.select("text").mapInPandas(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        for t in joined(batches, FLUSH):
+            words, _ = words_of(t["text"])
+            each = words.dictionary_encode()
+            c = np.bincount(each.indices, minlength=len(each.dictionary))
+            some = np.flatnonzero(c >= len(words) / FEW)
+            yield pa.RecordBatch.from_arrays([each.dictionary.take(pa.array(some)), pa.array(c[some], pa.int64())], ["word", "c"])
+
+    found = train.select("text").mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     return [bytes(r["word"]) for r in found.orderBy(F.desc("c"), "word").limit(SINGLE).collect()]
 
 
-def joined(batches, rows: int):
-    """Arrow tables of at least ``rows`` rows, but for the last, made of small batches."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held)
-
-
 def preference(moves: np.ndarray) -> np.ndarray:
     """(2 * classes x classes): what the log likelihood of a word's occurrences gains if it is in a class, for each
     occurrence after a class (first half) and before a class (second half); ``moves``: counts of class bigrams."""
@@ -167,95 +202,90 @@ def vocabulary(train: DataFrame, single: list[bytes], cls: np.ndarray, moves: np
     Tasks pass on each word's neighbours as pairs of bytes, or as a table where that is shorter.
     """
     width = 2 * CLASSES
-    handle = train.sparkSession.sparkContext.broadcast((single, cls, preference(moves)))
+    handle = train.sparkSession.sparkContext.broadcast((pa.array(single, pa.binary()), cls, preference(moves)))
 
     def counted(batches):
         single, cls, _ = handle.value
-        start = {w: i for i, w in enumerate(single)} | {b"": len(single)}
-        of_ending = cls[SINGLE : SINGLE + ENDINGS].tolist()
-        at, kind, ids = dict(start), [*cls[: len(single)].tolist(), int(cls[END])], [len(single)]
-
-        def merged():
-            x = np.array(ids, np.int32)
-            k = np.array(kind, np.uint8)[x]
-            c = np.bincount(x[1:], minlength=len(kind))
-            rare = np.flatnonzero(x >= len(start))  # never first or last: texts end with their end
-            order = rare[np.argsort(x[rare], kind="stable")]
+        for t in joined(batches, FLUSH):
+            words, n = words_of(t["text"])
+            each = words.dictionary_encode()
+            x, names = each.indices.to_numpy(), each.dictionary
+            del words
+            item, at, c = items(names, single), places(n), np.bincount(x, minlength=len(names))
+            k = np.full(len(x) + len(n) + 1, cls[END], np.uint8)
+            k[at] = cls[item].astype(np.uint8)[x]
+            rare = np.flatnonzero((item >= SINGLE)[x])
+            rare |= x[rare].astype(np.int64) << 32
+            rare.sort()  # by word, and in the order of the texts
+            order = at[rare & 0xFFFFFFFF]
+            del rare
             near = np.stack([k[order - 1], k[order + 1]], axis=1)
-            raw, ends = near.tobytes(), np.cumsum(2 * c[len(start) :]).tolist()
-            out = [b""] * len(start)
-            for a, b in zip([0, *ends], ends, strict=False):
-                if b - a > 4 * width:
-                    two = near[a // 2 : b // 2].astype(np.int64) + (0, CLASSES)
-                    out.append(np.bincount(two.ravel(), minlength=width).astype(np.uint32).tobytes() + b"T")
-                else:
-                    out.append(raw[a:b])
-            got = pd.DataFrame({"word": list(at), "c": c, "near": out})
-            return got[got.c > 0]
-
-        for pdf in batches:
-            for t in pdf.text:
-                ws = words_of(t)
-                found = list(map(at.get, ws))
-                if None in found:
-                    for i, n in enumerate(found):
-                        if n is None:
-                            w = ws[i]
-                            n = at.get(w)
-                            if n is None:
-                                n = at[w] = len(kind)
-                                kind.append(of_ending[ending(w) - SINGLE])
-                            found[i] = n
-                ids += found
-                ids.append(len(single))
-            if len(at) > FLUSH or len(ids) > 2_000_000:
-                yield merged()
-                at, kind, ids = dict(start), kind[: len(start)], [len(single)]
-        if len(ids) > 1:
-            yield merged()
+            many = np.where(item < SINGLE, 0, c)
+            size, ends, raw, last = 2 * many, np.cumsum(many), [], 0
+            for i in np.flatnonzero(many > 2 * width):
+                two = near[ends[i] - many[i] : ends[i]].astype(np.int64) + (0, CLASSES)
+                raw += [near[last : ends[i] - many[i]].tobytes(), np.bincount(two.ravel(), minlength=width).astype(np.uint32).tobytes(), b"T"]
+                size[i], last = 4 * width + 1, ends[i]
+            raw = b"".join([*raw, near[last:].tobytes()])
+            out = pa.RecordBatch.from_arrays([names, pa.array(c, pa.int64()), binary(np.append(0, np.cumsum(size)), raw)], ["word", "c", "near"])
+            for i in range(0, len(names), 1 << 16):
+                yield out.slice(i, 1 << 16)
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([len(n)], pa.int64()), pa.array([b""], pa.binary())], ["word", "c", "near"])
 
     def placed(batches):
         single, cls, gain = handle.value
-        fixed = {w: int(k) for w, k in zip(single, cls, strict=False)} | {b"": int(cls[END])}
+        fixed, kinds = pa.concat_arrays([single, pa.array([b""], pa.binary())]), np.append(cls[: len(single)], cls[END])
         pair = (gain[:CLASSES, None] + gain[None, CLASSES:]).reshape(-1, CLASSES)  # by the classes on both sides
+        best = np.argmax(pair, axis=1)
         last: tuple = ()  # the last word so far, which may go on, with its count and what each class gains
 
         def rows(words, counts, k):
-            got = [fixed.get(w, x) for w, x in zip(words, k.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(got, pa.int32())], ["word", "c", "k"])
-
-        for t in joined(batches, 8192):
-            words, near = t["word"].to_pylist(), t["near"].to_pylist()
-            new = np.array([True, *(a != b for a, b in zip(words, words[1:]))])
-            start = np.flatnonzero(new)
-            row = np.cumsum(new) - 1
-            total = np.add.reduceat(t["c"].to_numpy(), start)
-            full = [i for i, x in enumerate(near) if len(x) % 2]
-            tables = [np.frombuffer(near[i][:-1], np.uint32) for i in full]
+            found = pc.index_in(words, value_set=fixed)
+            at = found.fill_null(0).to_numpy(zero_copy_only=False)
+            k = np.where(found.is_valid().to_numpy(zero_copy_only=False), kinds[at], k)
+            return pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64()), pa.array(k, pa.int32())], ["word", "c", "k"])
+
+        def end():
+            return rows(pa.array([last[0]], pa.binary()), [last[1]], np.argmax(last[2][None], axis=1))
+
+        for t in joined(batches, 1 << 20):
+            words, near = (t[c].combine_chunks().cast(pa.binary()) for c in ("word", "near"))
+            new = np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))
+            start, row = np.flatnonzero(new), np.cumsum(new) - 1
+            names, total = words.take(pa.array(start)), np.add.reduceat(t["c"].to_numpy(), start)
+            size = np.diff(bounds(near))
+            full = np.flatnonzero(size % 2)
+            small = near.filter(pa.array(size % 2 == 0))
+            two = np.frombuffer(small.buffers()[2] or b"", np.uint8)[bounds(small)[0] : bounds(small)[-1]].reshape(-1, 2)
+            two = two[:, 0].astype(np.int64) * CLASSES + two[:, 1]
+            of = np.repeat(row, np.where(size % 2, 0, size // 2))
+            seen = np.bincount(of, minlength=len(start))
+            # a word that came with one pair has the class that is best for it; what all others gain is added up
+            k, some = np.zeros(len(start), np.int64), seen > 1
+            k[of] = best[two]
+            some[row[full]] = some[[0, -1]] = True
+            value, at = np.zeros((some.sum(), CLASSES)), np.cumsum(some) - 1
             for i in full:
-                near[i] = b""
-            two = np.frombuffer(b"".join(near), np.uint8).reshape(-1, 2)
-            of = np.repeat(row, [len(x) // 2 for x in near])
-            value = np.zeros((len(start), CLASSES))
-            if len(of):
-                at = np.flatnonzero(np.diff(of, prepend=-1))
-                value[of[at]] = np.add.reduceat(pair[two[:, 0].astype(np.int64) * CLASSES + two[:, 1]], at)
-            for i, x in zip(full, tables, strict=True):
-                value[row[i]] += x @ gain
-            names = [words[i] for i in start]
+                value[at[row[i]]] += np.frombuffer(near[i].as_py()[:-1], np.uint32) @ gain
+            two, of = two[some[of]], at[of[some[of]]]
+            for i in range(0, len(of), 1 << 15):
+                here = of[i : i + (1 << 15)]
+                first = np.flatnonzero(np.diff(here, prepend=-1))
+                value[here[first]] += np.add.reduceat(pair[two[i : i + (1 << 15)]], first)
             if last:
-                if names[0] == last[0]:
+                if names[0].as_py() == last[0]:
                     total[0] += last[1]
                     value[0] += last[2]
                 else:
-                    yield rows([last[0]], [last[1]], np.argmax(last[2][None], axis=1))
+                    yield end()
+            k[some] = np.argmax(value, axis=1)
             if len(names) > 1:
-                yield rows(names[:-1], total[:-1], np.argmax(value[:-1], axis=1))
-            last = names[-1], int(total[-1]), value[-1].copy()
+                yield rows(names[:-1], total[:-1], k[:-1])
+            last = names[-1].as_py(), int(total[-1]), value[-1].copy()
         if last:
-            yield rows([last[0]], [last[1]], np.argmax(last[2][None], axis=1))
+            yield end()
 
-    parts = train.select("text").mapInPandas(counted, "word binary, c long, near binary")
+    parts = train.select("text").mapInArrow(counted, "word binary, c long, near binary")
     return parts.repartition("word").sortWithinPartitions("word").mapInArrow(placed, "word binary, c long, k int")
 
 
@@ -279,23 +309,18 @@ def most_frequent(vocab: DataFrame, most: int = KNOWN) -> list[tuple[bytes, int,
 def item_pairs(train: DataFrame, single: list[bytes]) -> np.ndarray:
     """Counts of item bigrams over all of ``train``; ITEMS x ITEMS at most reach the driver."""
 
-    def counted(batches):
-        items, table, held = Items(single), np.zeros(ITEMS * ITEMS, np.int64), [END]
+    single = pa.array(single, pa.binary())
 
-        def add():
-            x = np.array(held, np.int64)
-            np.add(table, np.bincount(x[:-1] * ITEMS + x[1:], minlength=ITEMS * ITEMS), out=table)
-            held[:] = [END]
-
-        for pdf in batches:
-            for t in pdf.text:
-                held += items(words_of(t))
-                held.append(END)  # which also stands before the next text
-                if len(held) > 1_000_000:
-                    add()
-        add()
+    def counted(batches):
+        table = np.zeros(ITEMS * ITEMS, np.int64)
+        for t in joined(batches, FLUSH // 8):
+            words, n = words_of(t["text"])
+            x = np.full(len(words) + len(n) + 1, END, np.int32)
+            x[places(n)] = items(words, single)
+            del words
+            np.add.at(table, x[:-1] * ITEMS + x[1:], 1)
         at = np.flatnonzero(table)
-        yield pd.DataFrame({"pair": at, "n": table[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], ["pair", "n"])
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf.pair.iloc[0]) // BLOCK
@@ -304,7 +329,7 @@ def item_pairs(train: DataFrame, single: list[bytes]) -> np.ndarray:
         return pd.DataFrame({"block": [block], "m": [cells.tobytes()]})
 
     # each pair is one row of a block by now, so a block has BLOCK rows at most; the driver gets a few dozen rows
-    sums = train.select("text").mapInPandas(counted, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    sums = train.select("text").mapInArrow(counted, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     out = np.zeros(-(-ITEMS * ITEMS // BLOCK) * BLOCK, np.float32)
     for r in sums.groupBy(F.floor(F.col("pair") / BLOCK).alias("at")).applyInPandas(packed, "block int, m binary").collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["m"], np.float32)
@@ -317,9 +342,9 @@ def class_moves(rows: DataFrame) -> np.ndarray:
     def counted(batches):
         table = np.zeros(CLASSES * CLASSES, np.int64)
         for pdf in batches:
-            for k in pdf.ks:
-                k = np.frombuffer(k, np.uint8).astype(np.int64)
-                table += np.bincount(k[:-1] * CLASSES + k[1:], minlength=CLASSES * CLASSES)
+            k, ends = np.frombuffer(b"".join(pdf.ks), np.uint8).astype(np.int64), np.cumsum(pdf.ks.map(len))
+            two = np.delete(k[:-1] * CLASSES + k[1:], ends[:-1] - 1)  # the last of a text and the first of the next are no pair
+            table += np.bincount(two, minlength=CLASSES * CLASSES)
         at = np.flatnonzero(table)
         yield pd.DataFrame({"pair": at, "n": table[at]})
 
@@ -330,10 +355,11 @@ def class_moves(rows: DataFrame) -> np.ndarray:
 
 
 @lru_cache(1)
-def _tables(handle) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-    """word -> row, and by row the class and log10(c + ALPHA), and the class of each item; built once a worker."""
+def _tables(handle) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their classes and log10(c + ALPHA), both with a zero behind the last, and the class of each item; built once
+    a worker."""
     words, counts, kinds, cls = handle.value
-    return {w: i for i, w in enumerate(words)}, np.array(kinds, np.uint8), np.log10(np.array(counts, float) + ALPHA), cls
+    return words, np.append(kinds, 0).astype(np.uint8), np.append(np.log10(counts + ALPHA), 0), cls
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -345,7 +371,7 @@ def score(docs: DataFrame) -> DataFrame:
     columns of ``docs`` are not read, whatever their names; without training rows every count is 0; an empty table
     gives no rows.
     """
-    U.small_batches(docs)
+    U.batch_bytes(docs)
     spark = docs.sparkSession
     held = U.fold(F.col("doc_id"), 10) == 0
     train = docs.where(~held)
@@ -364,32 +390,39 @@ def score(docs: DataFrame) -> DataFrame:
     end_log = log10(n_end + ALPHA)
     n_known_end = int(n_end > 0)
     top = [x for x in most_frequent(vocab) if x[0]]
-    handle = spark.sparkContext.broadcast(([w for w, *_ in top], [c for _, c, _ in top], [k for *_, k in top], cls))
+    parts = pa.array([w for w, *_ in top], pa.binary()), np.array([c for _, c, _ in top], np.int64), np.array([k for *_, k in top], np.uint8)
+    handle = spark.sparkContext.broadcast((*parts, cls))
 
     def read(batches):
-        index, row_cls, row_log, cls_of = _tables(handle)
-        for pdf in batches:
-            out = []
-            for t in pdf.text:
-                ws = words_of(t)
-                at = list(map(index.get, ws))
-                rest = [i for i, x in enumerate(at) if x is None]
-                k = np.full(len(ws) + 2, cls_of[END], np.uint8)
-                if rest:
-                    far = [ws[i] for i in rest]
-                    known = np.array([x for x in at if x is not None], np.int64)
-                    here = np.ones(len(ws) + 2, bool)
-                    here[np.array(rest) + 1] = here[0] = here[-1] = False
-                    k[here] = row_cls[known]
-                    k[np.array(rest) + 1] = cls_of[[ending(w) for w in far]]  # stays where the word is new
-                else:
-                    far, known = [], np.array(at, np.int64)
-                    k[1:-1] = row_cls[known]
-                out.append((len(ws) + 1, len(known) + n_known_end, float(row_log[known].sum()) + end_log, k.tobytes(), far, [i + 1 for i in rest]))
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "held_out": pdf.held_out}).assign(**dict(zip(("n_tokens", "n_known", "logs", "ks", "words", "at"), map(list, zip(*out)), strict=False))) if out else None
+        top, row_cls, row_log, cls = _tables(handle)
+        for t in joined(batches, 8 << 20):
+            words, n = words_of(t["text"])
+            found = pc.index_in(words, value_set=top)
+            x, of = found.fill_null(len(top)).to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+            rest = np.flatnonzero(x == len(top))
+            far, some = words.take(pa.array(rest)), np.bincount(of[rest], minlength=len(n))
+            kinds = row_cls[x]
+            kinds[rest] = cls[endings(far)]  # stays where the word is new
+            k = np.full(len(x) + 2 * len(n), cls[END], np.uint8)
+            k[np.arange(len(x)) + 2 * of + 1] = kinds
+            lists = pa.array(np.append(0, np.cumsum(some)), pa.int32())
+            at = pa.array(rest - (np.cumsum(n) - n)[of[rest]] + 1, pa.int64())
+            out = {
+                "doc_id": t["doc_id"].combine_chunks(),
+                "held_out": t["held_out"].combine_chunks(),
+                "n_tokens": pa.array(n + 1, pa.int64()),
+                "n_known": pa.array(n - some + n_known_end, pa.int64()),
+                "logs": pa.array(np.bincount(of, row_log[x], len(n)) + end_log, pa.float64()),
+                "ks": binary(np.append(0, np.cumsum(n + 2)), k),
+                "words": pa.ListArray.from_arrays(lists, far),
+                "at": pa.ListArray.from_arrays(lists, at),
+            }
+            out = pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            for i in range(0, len(n), 256):
+                yield out.slice(i, 256)
 
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, ks binary, words array<binary>, at array<long>"
-    rows = docs.select("doc_id", held.alias("held_out"), "text").mapInPandas(read, kind)
+    rows = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").mapInArrow(read, kind)
     # Row numbers are stored with the rows, so nothing that is computed again can change them.
     rows = U.checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
     rare = rows.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "at")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.at").alias("at"))

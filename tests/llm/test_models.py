@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,42 @@ def test_every_word_takes_the_class_that_its_neighbours_favour(spark, small, flu
     assert max(map(len, by_ending.values())) > 1
 
 
+def test_words_items_and_places_against_plain_ones():
+    """The whole-array forms of op 6 give what a loop over words gives, on odd white space, nulls and slices of arrays."""
+    texts = ["  A b\x0bC\x0c", None, "", " \t\r\n", "x\x1cY\x85z\xa0\u2003\xc4 \xc9", "... ,;:!? end. ab!? \x00", "one", "\u6c49\u5b57. to a"]
+    for got in (pa.chunked_array([texts], pa.string()), pa.chunked_array([texts[:3], [], texts[3:]], pa.string())[1:], pa.chunked_array([[None, ""]], pa.string())):
+        plain = [tokens(t)[:-1] for t in got.to_pylist()]
+        words, n = lm.words_of(got)
+        flat = [w for ws in plain for w in ws]
+        assert words.to_pylist() == flat and n.tolist() == [len(ws) for ws in plain]
+        assert lm.endings(words).tolist() == [lm.ending(w) for w in flat]
+        single = [b"b", b"one", b"..."]
+        assert lm.items(words, pa.array(single, pa.binary())).tolist() == [single.index(w) if w in single else lm.ending(w) for w in flat]
+        assert lm.items(words, pa.array([], pa.binary())).tolist() == [lm.ending(w) for w in flat]
+        ends = [i for ws in ([], *plain) for i in [*ws, None]]
+        assert lm.places(n).tolist() == [i for i, w in enumerate(ends) if w is not None]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    for size in (1, 40, 1 << 20):
+        assert [t for part in lm.joined(iter([batch, batch.slice(0, 0), batch]), size) for t in part["text"].to_pylist()] == texts * 2
+
+
+def test_words_are_counted_as_arrays(spark, small):
+    """op6_class_lm was over its seconds a GB: words went one by one through Python and rows in batches of 256."""
+    keys = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        spark.conf.set(keys[0], "10000")
+        spark.conf.set(keys[1], "64MB")
+        docs = spark.read.parquet(f"{small}/documents.parquet").limit(20)
+        plan = lm.vocabulary(docs, [b"a"], np.zeros(lm.ITEMS, int), np.ones((lm.CLASSES, lm.CLASSES)))._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "MapInPandas" not in plan
+        assert lm.score(docs).count() == docs.count()
+        assert spark.conf.get(keys[0]) == "10000" and int(spark.conf.get(keys[1]).rstrip("b")) <= 1 << 20
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+
+
 def test_language_model_on_odd_rows(odd, none):
     got = lm.score(odd)
     assert got.count() == odd.count() and got.where("score IS NULL OR isnan(score) OR n_tokens < 1").count() == 0
